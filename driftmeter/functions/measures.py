@@ -10,30 +10,24 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
-def maintainability_index(sloc: Column, cc: Column) -> Column:
-    """0..100 maintainability from size and complexity, without Halstead volume."""
-    raw = (
-        F.lit(171.0) - F.lit(0.23) * cc - F.lit(16.2) * F.ln(F.greatest(F.lit(1), sloc).cast("double"))
-    ) * F.lit(100.0) / F.lit(171.0)
-    return F.greatest(F.lit(0.0), raw)
+def maintainability_index(sloc: str, cc: str) -> Column:
+    """0..100 maintainability from size and complexity columns, without Halstead volume."""
+    return F.expr(
+        f"greatest(0d, (171d - 0.23d * {cc} - 16.2d * ln(cast(greatest(1, {sloc}) as double))) * 100d / 171d)"
+    )
 
 
-def weighted_smells() -> Column:
-    """3 x high + 2 x medium + 1 x low."""
-    first, *rest = [F.col(name) * F.lit(weight) for name, weight in fixed.SMELL_WEIGHTS.items()]
-    total = first
-    for term in rest:
-        total = total + term
-    return total
+# 3 x high + 2 x medium + 1 x low
+WEIGHTED_SMELLS = " + ".join(f"{weight}d * {name}" for name, weight in fixed.SMELL_WEIGHTS.items())
 
 
-def scaled(value: Column, low: Column, high: Column) -> Column:
-    """Min-max scaling; 0 when the range is empty."""
-    return F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+def weighted_smells() -> Column:
+    return F.expr(WEIGHTED_SMELLS)
 
 
-def log2(value: Column) -> Column:
-    return F.log2(value)
+def scaled(value: str, low: str, high: str) -> str:
+    """Min-max scaling as SQL; 0 when the range is empty."""
+    return f"coalesce(try_divide({value} - {low}, {high} - {low}), 0d)"
 
 
 def band_above(value: Column, scale: Sequence[tuple[float | None, str]]) -> Column:

@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
+_LANGUAGE_MAP = "map({})".format(
+    ", ".join(
+        f"'{extension}', '{language}'"
+        for language, extensions in fixed.LANGUAGE_EXTENSIONS.items()
+        for extension in extensions
+    )
+)
 _META = set("\\^$.|?*+()[]{}-&#~")
 
 
@@ -89,10 +96,7 @@ def parse_patterns(text: str | None) -> list[str]:
 def language_of(path: Column) -> Column:
     """Language by the text after the last dot of the file name; '' when unknown."""
     extension = F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
-    language = F.lit("")
-    for name, extensions in reversed(fixed.LANGUAGE_EXTENSIONS.items()):
-        language = F.when(extension.isin(*extensions), F.lit(name)).otherwise(language)
-    return language
+    return F.coalesce(F.try_element_at(F.expr(_LANGUAGE_MAP), extension), F.lit(""))
 
 
 def kind_of(path: Column, utility_patterns: Sequence[str]) -> Column:

@@ -34,16 +34,22 @@ def coupling_by_file(source_files: DataFrame) -> DataFrame:
 
 
 def add_maintainability(files: DataFrame) -> DataFrame:
-    return files.withColumn("mi", measures.maintainability_index(F.col("sloc"), F.col("cc")))
+    return files.withColumn("mi", measures.maintainability_index("sloc", "cc"))
 
 
 # --- functions -> files ------------------------------------------------------------------
 
-def function_rollup(functions: DataFrame, keys: Sequence[str] = COMMIT, *extra: Column) -> DataFrame:
-    """Mean complexity and smell counts per file; paths are matched ignoring case."""
+def function_rollup(
+    functions: DataFrame, keys: Sequence[str] = COMMIT, *extra: Column, file: Column | None = None
+) -> DataFrame:
+    """Mean complexity and smell counts per file; paths are matched ignoring case.
+
+    ``file`` replaces the path where functions name their file by another key.
+    """
     ccn = F.col("ccn")
+    file = F.lower("path") if file is None else file
     high, medium, low = fixed.SMELL_HIGH_ABOVE, fixed.SMELL_MEDIUM_ABOVE, fixed.SMELL_LOW_ABOVE
-    return functions.groupBy(*keys, F.lower("path").alias("path_key")).agg(
+    return functions.groupBy(*keys, file.alias("path_key")).agg(
         F.avg(ccn).alias("cc"),
         F.count_if(ccn > high).alias("smells_high"),
         F.count_if((ccn > medium) & (ccn <= high)).alias("smells_medium"),

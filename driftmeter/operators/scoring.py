@@ -1,8 +1,8 @@
 """Badness of files within their commit, entropy of commits, refactoring and diffusion scores.
 
 A commit is scored in two passes: the range of every feature, then the scores.
-Ranges are one mergeable aggregation; they come back to the files by a sliced
-join (``skew``), never by a window over all files of a commit.  The entropy
+Ranges are one mergeable aggregation; they come back to the files by a skew-safe
+join (``skew.attach``), never by a window over all files of a commit.  The entropy
 needs no third pass: with T = sum b and X = sum b log2 b over active files,
 H = log2 T - X / T.
 """
@@ -18,68 +18,62 @@ from ..functions import fixed, measures
 from . import skew
 from .rollup import COMMIT
 
+# feature -> SQL over the file columns
 _FEATURES = {
-    "sloc": lambda: F.col("sloc").cast("double"),
-    "cc": lambda: F.col("cc"),
-    "smells": measures.weighted_smells,
-    "coupling": lambda: F.col("coupling").cast("double"),
-    "mi": lambda: F.col("mi"),
+    "sloc": "cast(sloc as double)",
+    "cc": "cc",
+    "smells": f"({measures.WEIGHTED_SMELLS})",
+    "coupling": "cast(coupling as double)",
+    "mi": "mi",
 }
 
 
 def feature_ranges(files: DataFrame, keys: Sequence[str] = COMMIT) -> DataFrame:
-    """Minimum and maximum of every raw feature, file count and lines, per commit."""
-    bounds = []
-    for name, value in _FEATURES.items():
-        bounds += [F.min(value()).alias(f"_{name}_low"), F.max(value()).alias(f"_{name}_high")]
-    return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"), *bounds)
+    """Minimum and maximum of every raw feature and the file count, per commit."""
+    bounds = [
+        F.expr(f"{function}({value}) as _{name}_{end}")
+        for name, value in _FEATURES.items()
+        for function, end in (("min", "low"), ("max", "high"))
+    ]
+    return files.groupBy(*keys).agg(F.expr("count(1) as _files"), *bounds)
 
 
-def _scaled(name: str, shape=lambda c: c) -> Column:
-    return measures.scaled(
-        shape(_FEATURES[name]()), shape(F.col(f"_{name}_low")), shape(F.col(f"_{name}_high"))
-    )
+def _scaled(name: str, shape: str = "{}") -> str:
+    value, low, high = (shape.format(x) for x in (_FEATURES[name], f"_{name}_low", f"_{name}_high"))
+    return measures.scaled(value, low, high)
 
 
-def _badness() -> Column:
-    return (
-        _scaled("sloc", F.log1p)
-        + _scaled("cc")
-        + _scaled("smells")
-        + _scaled("coupling")
-        + (F.lit(1.0) - _scaled("mi"))
-    )
+_BADNESS = " + ".join(
+    [
+        _scaled("sloc", "ln(1d + {})"),
+        _scaled("cc"),
+        _scaled("smells"),
+        _scaled("coupling"),
+        f"(1d - {_scaled('mi')})",
+    ]
+)
 
 
-def focus_score(focus: str = "overall") -> Column:
+def focus_score(focus: str = "overall") -> str:
     """Mean of the chosen scaled features; the badness for 'overall', nothing or nothing known."""
     words = {w.strip().lower() for w in focus.split(",") if w.strip()}
     parts = [
-        F.lit(1.0) - _scaled(name) if name == "mi" else _scaled(name)
+        f"(1d - {_scaled(name)})" if name == "mi" else _scaled(name)
         for name in ("sloc", "cc", "mi", "smells", "coupling")
         if name in words
     ]
     if "overall" in words or not parts:
-        return _badness()
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return total / F.lit(float(len(parts)))
+        return _BADNESS
+    return f"({' + '.join(parts)}) / {len(parts)}d"
 
 
-def _with_ranges(files: DataFrame, keys: Sequence[str], limits: dict) -> DataFrame:
-    ranges = skew.sized(feature_ranges(files, keys), "_files", **limits)
-    rows = skew.sliced(files, ranges, keys, ["path"])
-    return rows.join(skew.per_slice(ranges), [*keys, "_slice"])
-
-
-def _scored(files: DataFrame, keys: Sequence[str], limits: dict) -> DataFrame:
-    """Files with ``badness``, still carrying the slice columns for a second join."""
-    return _with_ranges(files, keys, limits).select(*files.columns, "_slice", "_slices", _badness().alias("badness"))
+def _with_ranges(files: DataFrame, keys: Sequence[str], limits: dict, keep_slice: bool = False) -> DataFrame:
+    known = skew.keyed(files, keys)
+    return skew.attach(known, feature_ranges(known, keys), keys, "_files", ["path"], keep_slice=keep_slice, **limits)
 
 
 def badness_by_file(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
-    return _scored(files, keys, limits).drop("_slice", "_slices")
+    return _with_ranges(files, keys, limits).selectExpr(*files.columns, f"{_BADNESS} as badness")
 
 
 def refactor_scores(
@@ -87,45 +81,31 @@ def refactor_scores(
 ) -> DataFrame:
     """Add ``score`` for one focus list, or one column per entry of a {column: focus} mapping."""
     wanted = {"score": focus} if isinstance(focus, str) else focus
-    return _with_ranges(files, keys, limits).select(
-        *files.columns, *[focus_score(words).alias(name) for name, words in wanted.items()]
+    return _with_ranges(files, keys, limits).selectExpr(
+        *files.columns, *[f"{focus_score(words)} as {name}" for name, words in wanted.items()]
     )
 
 
-def _active(value: Column) -> Column:
-    return F.when(F.col("badness") > fixed.EPSILON, value)
-
+_ACTIVE = f"badness > {fixed.EPSILON}d"
 
-def _entropy_columns() -> dict[str, Column]:
-    b = F.col("badness")
-    return {
-        "_n": F.count(_active(F.lit(1))),
-        "_t": F.sum(_active(b)),
-        "_x": F.sum(_active(b * measures.log2(b))),
-    }
-
-
-def shannon(total: Column, weighted: Column) -> Column:
-    return measures.log2(total) - weighted / total
-
-
-def entropy_of(n: Column, total: Column, weighted: Column) -> Column:
-    """Normalised spread times mean badness, clamped at 0; 0 below two active files."""
-    score = shannon(total, weighted) / measures.log2(n.cast("double")) * total / n
-    degenerate = (n <= 1) | (F.coalesce(total, F.lit(0.0)) <= fixed.EPSILON)
-    return F.when(degenerate, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score))
+# from n active files, t = sum b and x = sum b log2 b: spread of the badness over
+# the files, 0..1, times the mean badness, clamped at 0; 0 below two active files
+_ENTROPY = f"""
+    case when n <= 1 or coalesce(t, 0d) <= {fixed.EPSILON}d then 0d
+         else greatest(0d, (log2(t) - x / t) / log2(cast(n as double)) * t / n) end
+"""
 
 
 def entropy_from_scored(scored: DataFrame, keys: Sequence[str] = COMMIT) -> DataFrame:
     """Commit metrics out of files that already carry ``badness``."""
     sums = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.sum("sloc").cast("bigint").alias("total_sloc"),
-        *[column.alias(name) for name, column in _entropy_columns().items()],
-    )
-    return sums.select(
-        *keys, "total_files", "total_sloc", entropy_of(F.col("_n"), F.col("_t"), F.col("_x")).alias("entropy")
+        F.expr("count(1) as total_files"),
+        F.expr("cast(sum(sloc) as bigint) as total_sloc"),
+        F.expr(f"count_if({_ACTIVE}) as n"),
+        F.expr(f"sum(if({_ACTIVE}, badness, null)) as t"),
+        F.expr(f"sum(if({_ACTIVE}, badness * log2(badness), null)) as x"),
     )
+    return sums.selectExpr(*keys, "total_files", "total_sloc", f"{_ENTROPY} as entropy")
 
 
 def entropy_by_commit(
@@ -145,18 +125,18 @@ def entropy_by_commit_kind(files: DataFrame, **limits) -> DataFrame:
 
 
 def _second_pass(files: DataFrame, keys: Sequence[str], limits: dict, *aggregates: Column) -> DataFrame:
-    # the second statistics join reuses the slices, hence the partitioning, of the first
-    scored = _scored(files, keys, limits)
-    stats = scored.groupBy(*keys).agg(F.max("_slices").alias("_slices"), *aggregates)
-    return scored.drop("_slices").join(skew.per_slice(stats), [*keys, "_slice"])
+    """Scored files with statistics of their commit's scores; reuses the partitioning of the first pass."""
+    ranged = _with_ranges(files, keys, limits, keep_slice=True)
+    scored = ranged.selectExpr(*files.columns, "_slice", f"{_BADNESS} as badness")
+    stats = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"), *aggregates)
+    return skew.attach(scored, stats, keys, "_files", ["path"], **limits)
 
 
 def diffusion_contributions(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
     """Add ``badness`` and ``diffusion`` = -p log2 p over active files; they sum to H."""
-    rows = _second_pass(files, keys, limits, F.sum(_active(F.col("badness"))).alias("_t"))
-    p = F.col("badness") / F.col("_t")
-    share = F.when((F.col("badness") > fixed.EPSILON) & (F.col("_t") > fixed.EPSILON), -p * measures.log2(p))
-    return rows.select(*files.columns, "badness", F.coalesce(share, F.lit(0.0)).alias("diffusion"))
+    rows = _second_pass(files, keys, limits, F.expr(f"sum(if({_ACTIVE}, badness, null)) as _t"))
+    spread = f"if({_ACTIVE} and _t > {fixed.EPSILON}d, -(badness / _t) * log2(badness / _t), 0d) as diffusion"
+    return rows.selectExpr(*files.columns, "badness", spread)
 
 
 def heat_rank(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
@@ -165,12 +145,9 @@ def heat_rank(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataF
     The order is one range sort over all commits on a unique key, so a commit of
     any size spreads over many tasks.
     """
-    rows = _second_pass(files, keys, limits, F.max("badness").alias("_hottest"))
-    hottest = F.when(F.col("_hottest") == 0, F.lit(1.0)).otherwise(F.col("_hottest"))
-    heat = F.col("badness") / hottest
-    return rows.select(
-        *files.columns,
-        "badness",
-        heat.alias("heat"),
-        F.bround(heat * F.lit(float(fixed.HEAT_BAR_STEPS))).cast("int").alias("bar"),
-    ).orderBy(*keys, F.desc("badness"), "path")
+    rows = _second_pass(files, keys, limits, F.expr("max(badness) as _hottest"))
+    heat = "badness / if(_hottest = 0d, 1d, _hottest)"
+    bar = f"cast(bround({heat} * {fixed.HEAT_BAR_STEPS}) as int) as bar"
+    return rows.selectExpr(*files.columns, "badness", f"{heat} as heat", bar).orderBy(
+        *keys, F.desc("badness"), "path"
+    )

@@ -1,8 +1,8 @@
 """Two building blocks that keep hot keys from landing in one task.
 
-``sized`` / ``sliced`` / ``per_slice``: joining many rows with one statistics
-row per key.  Keys that hold a large share of the rows are cut into slices and
-only their statistics rows are copied, once per slice.
+``attach``: joining many rows with one statistics row per key.  The statistics
+of the few keys that own most rows are broadcast; their rows skip the keyed
+shuffle and spread evenly.  All other keys join as usual.
 
 ``with_carry``: ordered per-group computations (numbering, previous row,
 running totals).  A group's order is cut into chunks; what precedes a chunk is
@@ -17,58 +17,69 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is cut once it holds more rows than this ...
-MIN_SLICE_ROWS = 1_000_000
-# ... and more than this fraction of all rows.  So at most MAX_HOT_KEYS keys are
-# ever cut, which is the proof that their list may be broadcast.
-MAX_HOT_KEYS = 8192
+# A key is hot when it has more rows than this ...
+HOT_ROWS = 1_000_000
+# ... and is among the so many largest.  The broadcast is bounded by this number
+# of statistics rows whatever the data; a key beyond it holds less than one
+# MAX_HOT_KEYS-th of all rows, which an ordinary shuffle takes.
+MAX_HOT_KEYS = 2000
+_SPREAD = 1 << 16
 
 
-def sized(
+def attach(
+    rows: DataFrame,
     stats: DataFrame,
+    keys: Sequence[str],
     rows_column: str,
-    min_slice_rows: int | None = None,
+    spread: Sequence[str],
+    hot_rows: int | None = None,
     max_hot_keys: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
-    """Add ``_slices``, the number of slices for each key of a per-key table that counts its rows."""
-    total = stats.agg(F.sum(rows_column)).scalar()
-    limit = F.greatest(
-        F.lit(min_slice_rows or MIN_SLICE_ROWS).cast("double"), total / F.lit(max_hot_keys or MAX_HOT_KEYS)
-    )
-    return stats.withColumn(
-        "_slices", F.greatest(F.lit(1), F.ceil(F.col(rows_column) / limit)).cast("int")
-    )
+    """Inner join of ``rows`` with per-key ``stats``, safe for keys that hold most of the rows.
 
+    ``rows_column`` of ``stats`` counts the rows of a key; ``spread`` names
+    columns that tell the rows of one key apart.  The hot list is cut out of the
+    same aggregate as the statistics, so Spark computes that aggregate once.
 
-def sliced(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, a hash of ``spread`` for the few hot ones."""
-    hot = stats.where(F.col("_slices") > 1).select(*keys, F.col("_slices").alias("_cut"))
-    slice_of = F.pmod(F.xxhash64(*spread), F.col("_cut")).cast("int")
-    return (
-        rows.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_slice", F.coalesce(slice_of, F.lit(0)))
-        .drop("_cut")
+    ``keep_slice`` leaves the column ``_slice`` in the result.  A second call on
+    such rows, with statistics that count the same rows, finds the same hot keys
+    and reuses the partitioning of the first.
+    """
+    keys = list(keys)
+    values = [c for c in stats.columns if c not in keys]
+    kept = [c for c in rows.columns if c != "_slice"] + (["_slice"] if keep_slice else [])
+    hot = (
+        stats.where(F.col(rows_column) > (hot_rows or HOT_ROWS))
+        .orderBy(F.desc(rows_column), *keys)
+        .limit(max_hot_keys or MAX_HOT_KEYS)
+        .selectExpr(*keys, *[f"`{c}` as `_hot_{c}`" for c in values])
+    )
+    flagged = rows.join(F.broadcast(hot), keys, "left")
+    if "_slice" not in rows.columns:
+        # slice 0 meets the statistics; hot rows go to the others and meet nothing there
+        names = ", ".join(f"`{c}`" for c in spread)
+        flagged = flagged.selectExpr(
+            "*", f"if(`_hot_{rows_column}` is null, 0, 1 + cast(pmod(xxhash64({names}), {_SPREAD}) as int)) as _slice"
+        )
+    # always 0, but not a constant: the optimizer would fold that and shuffle by the bare keys again
+    cold = stats.selectExpr(
+        *keys, f"cast(least(`{rows_column}`, 0) as int) as _slice", *[f"`{c}` as `_cold_{c}`" for c in values]
+    )
+    joined = flagged.join(cold, [*keys, "_slice"], "left")
+    return joined.where(f"`_hot_{rows_column}` is not null or `_cold_{rows_column}` is not null").selectExpr(
+        *[f"`{c}`" for c in kept], *[f"coalesce(`_hot_{c}`, `_cold_{c}`) as `{c}`" for c in values]
     )
 
 
-def per_slice(stats: DataFrame) -> DataFrame:
-    """One copy of each statistics row per slice of its key."""
-    return stats.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are set.
 
-def attach(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    rows_column: str,
-    spread: Sequence[str],
-    how: str = "inner",
-    **limits,
-) -> DataFrame:
-    """Join ``rows`` with per-key ``stats``, safe for keys that hold most of the rows."""
-    counted = sized(stats, rows_column, **limits)
-    joined = sliced(rows, counted, keys, spread).join(per_slice(counted), [*keys, "_slice"], how)
-    return joined.drop("_slice", "_slices")
+    Statistics and rows that both derive from this share every filter Spark
+    would otherwise infer on one side of their join, so they share their scans
+    and shuffles as well.
+    """
+    return rows.where(" and ".join(f"`{k}` is not null" for k in keys))
 
 
 Carry = tuple[Column, Callable[[Column], Column], str]

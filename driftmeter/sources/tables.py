@@ -42,6 +42,17 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored_copy(rows: DataFrame) -> DataFrame:
+    """Compute once, keep as Parquet in the work folder, read back.
+
+    Cuts the lineage with files that outlive any executor, and tells the planner
+    the true size of the result.
+    """
+    path = work_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class MetricsStore:
     """Parquet tables below one root.

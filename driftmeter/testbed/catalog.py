@@ -312,8 +312,8 @@ FOCUSES = {
     "size": "sloc",
     "size_and_cc": "SLOC, cc",
     "maintainability": "mi",
-    "smells": "smells",
-    "coupling": "coupling",
+    "smelliness": "smells",
+    "imports": "coupling",
     "all_five": "sloc,cc,mi,smells,coupling",
     "unknown_word": "speed",
 }
@@ -642,6 +642,7 @@ def _(spark, sf_dir):
     raw = views.functions_by_id(
         spark.readStream.schema(lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     )
+    raw = raw.withColumn("commit_hash", F.date_format("month", "yyyy-MM"))
     scan = IncrementalScan(f"{root}/store", lambda batch: views.to_file_metrics(batch, classified))
     scan.start(raw, f"{root}/checkpoint").awaitTermination()
     return publish(scan.commit_metrics(spark))

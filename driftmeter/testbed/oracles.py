@@ -307,8 +307,8 @@ _FOCUS_SQL = {
     "size": "s_sloc",
     "size_and_cc": "(s_sloc + s_cc) / 2",
     "maintainability": "1.0 - s_mi",
-    "smells": "s_smells",
-    "coupling": "s_coupling",
+    "smelliness": "s_smells",
+    "imports": "s_coupling",
     "all_five": "(s_sloc + s_cc + (1.0 - s_mi) + s_smells + s_coupling) / 5",
     "unknown_word": "badness",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import rollup, scoring
+from ..sources.tables import stored_copy
 
 # extension by id % 17: all known ones, then an unknown one
 EXTENSIONS = (
@@ -30,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _extension(key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (key % len(EXTENSIONS)).cast("int") + 1)
+    names = ", ".join(f"'{e}'" for e in EXTENSIONS)
+    return F.element_at(F.expr(f"array({names})"), (key % len(EXTENSIONS)).cast("int") + 1)
 
 
 def _directory(key: Column, own: Column) -> Column:
@@ -61,37 +63,41 @@ def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def functions_by_id(lineitem: DataFrame) -> DataFrame:
-    """lineitem -> one function per row; the file is named by its id."""
+    """lineitem -> one function per row; file and commit are named by narrow keys."""
     return lineitem.select(
         F.col("l_returnflag").alias("repo"),
-        F.date_format("l_shipdate", "yyyy-MM").alias("commit_hash"),
-        F.col("l_partkey").cast("string").alias("path"),
+        F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month"),
+        F.col("l_partkey").alias("file_id"),
         F.col("l_quantity").alias("ccn"),
         F.col("l_quantity").cast("int").alias("nloc"),
         F.col("l_linenumber").alias("imports"),
     )
 
 
+def _commit_hash() -> Column:
+    return F.date_format("month", "yyyy-MM").alias("commit_hash")
+
+
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the paths of part; every third function spells its path in capitals."""
     rows = functions_by_id(table(spark, sf_dir, "lineitem"))
-    named = files(spark, sf_dir).select(F.col("file_id").cast("string").alias("_id"), F.col("path").alias("_path"))
-    path = F.when(F.col("nloc") % 3 == 0, F.upper("_path")).otherwise(F.col("_path"))
-    joined = rows.join(named, rows.path == named["_id"])
-    return joined.select("repo", "commit_hash", path.alias("path"), "ccn", "nloc")
+    path = F.when(F.col("nloc") % 3 == 0, F.upper("path")).otherwise(F.col("path"))
+    joined = rows.join(files(spark, sf_dir), "file_id")
+    return joined.select("repo", _commit_hash(), path.alias("path"), "ccn", "nloc")
 
 
 def to_file_metrics(function_rows: DataFrame, classified: DataFrame) -> DataFrame:
     """Roll functions up to files on their narrow numeric key, then name the files."""
     rolled = rollup.function_rollup(
         function_rows,
-        rollup.COMMIT,
+        ("repo", "month"),
         F.sum("nloc").cast("bigint").alias("sloc"),
         F.sum("imports").cast("bigint").alias("coupling"),
+        file=F.col("file_id"),
     )
-    named = classified.withColumn("path_key", F.col("file_id").cast("string"))
-    return rollup.add_maintainability(rolled.join(named, "path_key")).select(
-        *rollup.COMMIT, "path", "language", "sloc", "cc", "mi",
+    joined = rolled.join(classified, rolled.path_key == classified.file_id)
+    return rollup.add_maintainability(joined).select(
+        "repo", _commit_hash(), "path", "language", "sloc", "cc", "mi",
         "smells_high", "smells_medium", "smells_low", "coupling", "kind",
     )
 
@@ -151,8 +157,13 @@ def commit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commit metrics with their times."""
-    return commit_metrics(spark, sf_dir).withColumn("ts", _month_start(F.col("commit_hash")))
+    """Stored commit metrics with their times.
+
+    Scoring reads every function; histories look at its small result several
+    times over.  So the result is stored once and read back, as a scan would.
+    """
+    stored = stored_copy(commit_metrics(spark, sf_dir))
+    return stored.withColumn("ts", _month_start(F.col("commit_hash")))
 
 
 def snapshot(spark: SparkSession, sf_dir: str, commit_hash: str) -> DataFrame:
@@ -254,13 +265,10 @@ def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change log: a file with functions in a month was touched there, or deleted when its lines divide by 7."""
     rows = functions_by_id(table(spark, sf_dir, "lineitem"))
-    touched = rows.groupBy("repo", "commit_hash", F.col("path").alias("file_id")).agg(
-        F.sum("nloc").cast("bigint").alias("sloc")
-    )
-    named = files(spark, sf_dir).withColumn("file_id", F.col("file_id").cast("string"))
-    return touched.join(named, "file_id").select(
+    touched = rows.groupBy("repo", "month", "file_id").agg(F.sum("nloc").cast("bigint").alias("sloc"))
+    return touched.join(files(spark, sf_dir), "file_id").select(
         "repo",
-        "commit_hash",
+        _commit_hash(),
         "path",
         F.concat(F.lit("v"), (F.col("sloc") % 10).cast("string")).alias("content_hash"),
         (F.col("sloc") % 7 == 0).alias("is_deleted"),
