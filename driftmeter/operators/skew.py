@@ -2,7 +2,8 @@
 
 ``attach``: joining many rows with one statistics row per key.  The statistics
 of the few keys that own most rows are broadcast; their rows skip the keyed
-shuffle and spread evenly.  All other keys join as usual.
+shuffle and spread evenly.  All other keys join as usual.  ``attach_many`` does
+the same for several partners per key, by slicing.
 
 ``with_carry``: ordered per-group computations (numbering, previous row,
 running totals).  A group's order is cut into chunks; what precedes a chunk is
@@ -38,7 +39,7 @@ def attach(
 ) -> DataFrame:
     """Inner join of ``rows`` with per-key ``stats``, safe for keys that hold most of the rows.
 
-    ``rows_column`` of ``stats`` counts the rows of a key; ``spread`` names
+    ``stats`` has exactly one row per key (``attach_many`` takes more).  ``rows_column`` of ``stats`` counts the rows of a key; ``spread`` names
     columns that tell the rows of one key apart.  The hot list is cut out of the
     same aggregate as the statistics, so Spark computes that aggregate once.
 
@@ -72,6 +73,40 @@ def attach(
     )
 
 
+def attach_many(
+    rows: DataFrame,
+    counts: DataFrame,
+    many: DataFrame,
+    keys: Sequence[str],
+    rows_column: str,
+    spread: Sequence[str],
+    hot_rows: int | None = None,
+    max_hot_keys: int | None = None,
+) -> DataFrame:
+    """Inner join of ``rows`` with ``many`` rows per key, safe for keys that hold most of ``rows``.
+
+    ``counts`` has one row per key.  A hot key's rows are cut into slices of
+    about ``hot_rows``, and its partners are copied once per slice.
+    """
+    keys, limit = list(keys), hot_rows or HOT_ROWS
+    cut = f"cast(ceil(`{rows_column}` / {limit}) as int) as _cut"
+    hot = (
+        counts.where(F.col(rows_column) > limit)
+        .orderBy(F.desc(rows_column), *keys)
+        .limit(max_hot_keys or MAX_HOT_KEYS)
+        .selectExpr(*keys, cut)
+    )
+    names = ", ".join(f"`{c}`" for c in spread)
+    sliced = rows.join(F.broadcast(hot), keys, "left").selectExpr(
+        *[f"`{c}`" for c in rows.columns],
+        f"if(_cut is null, 0, cast(pmod(xxhash64({names}), _cut) as int)) as _slice",
+    )
+    copies = many.join(counts.selectExpr(*keys, cut), keys).selectExpr(
+        *[f"`{c}`" for c in many.columns], "explode(sequence(0, _cut - 1)) as _slice"
+    )
+    return sliced.join(copies, [*keys, "_slice"]).drop("_slice")
+
+
 def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are set.
 

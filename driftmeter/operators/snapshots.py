@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import number_commits
-from .skew import attach, with_carry
+from .rollup import COMMIT
+from .skew import attach, attach_many, keyed, with_carry
 
 # commits per block: a block's hashes travel as one array, so this bounds the array
 BLOCK = 1024
 
 
-def validity_intervals(changes: DataFrame, numbered: DataFrame) -> DataFrame:
-    """From a change log to (repo, path, content_hash, first_seq, last_seq) per file version.
+def file_versions(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """From a change log to (repo, path, content_hash, first_seq, last_seq) per version of a file.
 
     ``changes`` holds (repo, commit_hash, path, content_hash, is_deleted), one
     row per file a commit touched.  A version lives until the commit before the
-    next change of the file, the last one until the newest commit.
+    next change of the file, the last one until the newest commit.  The table is
+    as small as the change log: store it and unfold what is needed.
     """
-    known = numbered.select("repo", "commit_hash", "commit_seq", "commit_count")
-    touched = changes.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("_touched"))
-    counts = touched.join(known, ["repo", "commit_hash"])
-    placed = attach(changes, counts, ["repo", "commit_hash"], "_touched", ["path"])
-    # a file changed in most commits is cut into blocks; each hands on its first change
+    known = number_commits(commits.select("repo", "commit_hash", "ts"))
+    logged = keyed(changes, COMMIT)
+    touched = logged.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_touched"))
+    numbers = known.select(*COMMIT, "commit_seq", "commit_count")
+    placed = attach(logged, touched.join(numbers, list(COMMIT)), COMMIT, "_touched", ["path"])
+    # a file changed in most commits is cut into blocks; each hands its first change to the one before
     blocked = placed.withColumn("_block", -F.floor(F.col("commit_seq") / BLOCK))
     rows = with_carry(
         blocked, ["repo", "path"], "_block", {"_next_block": (F.min("commit_seq"), F.last, "before")}
@@ -40,12 +43,12 @@ def validity_intervals(changes: DataFrame, numbered: DataFrame) -> DataFrame:
     ).where(~F.col("is_deleted")).drop("is_deleted")
 
 
-def snapshot_at_commit(changes: DataFrame, commits: DataFrame) -> DataFrame:
+def unfold_versions(versions: DataFrame, commits: DataFrame) -> DataFrame:
     """Every file present at every commit: (repo, commit_hash, path, content_hash).
 
-    Intervals unfold block by block and take the commit hashes of a block from
-    one array, so the join is an equality on (repo, block) over intervals, not
-    a range join over the unfolded rows.
+    Versions unfold block by block and take the commit hashes of a block from
+    one array, so the join is an equality on (repo, block) over versions, not a
+    range join over the unfolded rows.
     """
     numbered = number_commits(commits.select("repo", "commit_hash", "ts"))
     block_of = F.floor((F.col("commit_seq") - 1) / BLOCK).alias("_block")
@@ -54,18 +57,22 @@ def snapshot_at_commit(changes: DataFrame, commits: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("commit_seq", "commit_hash"))).alias("_commits")
     )
     first, last = F.col("first_seq"), F.col("last_seq")
-    pieces = validity_intervals(changes, numbered).withColumn(
+    pieces = versions.withColumn(
         "_block", F.explode(F.sequence(F.floor((first - 1) / BLOCK), F.floor((last - 1) / BLOCK)))
     )
-    counts = pieces.groupBy("repo", "_block").agg(F.count(F.lit(1)).alias("_pieces"))
-    joined = attach(pieces, counts.join(hashes, ["repo", "_block"]), ["repo", "_block"], "_pieces", ["path"])
+    keys = ["repo", "_block"]
+    counts = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pieces"))
+    joined = attach(pieces, counts.join(hashes, keys), keys, "_pieces", ["path"])
     start = F.greatest(first, F.col("_block") * BLOCK + 1)
     stop = F.least(last, (F.col("_block") + 1) * BLOCK)
     offset = (start - F.col("_block") * BLOCK).cast("int")
-    span = F.slice(F.col("_commits"), offset, (stop - start + 1).cast("int"))
-    return joined.select("repo", F.explode(span).alias("_commit"), "path", "content_hash").select(
-        "repo", F.col("_commit.commit_hash").alias("commit_hash"), "path", "content_hash"
-    )
+    span = F.slice(F.col("_commits.commit_hash"), offset, (stop - start + 1).cast("int"))
+    return joined.select("repo", F.explode(span).alias("commit_hash"), "path", "content_hash")
+
+
+def snapshot_at_commit(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Both steps at once, for change logs small enough not to store the versions."""
+    return unfold_versions(file_versions(changes, commits), commits)
 
 
 def changed_files(manifests: DataFrame, commits: DataFrame) -> DataFrame:
@@ -73,26 +80,26 @@ def changed_files(manifests: DataFrame, commits: DataFrame) -> DataFrame:
 
     ``manifests`` holds (repo, commit_hash, path, content_hash) for whole snapshots.
     """
-    parents = commits.select("repo", "commit_hash", F.get("parents", F.lit(0)).alias("_parent"))
-    counts = manifests.groupBy("repo", "commit_hash").agg(F.count(F.lit(1)).alias("_files"))
-    keys = ["repo", "commit_hash"]
-
+    manifests = keyed(manifests, COMMIT)
+    parents = commits.select(*COMMIT, F.get("parents", F.lit(0)).alias("_parent"))
+    counts = manifests.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files"))
     children = parents.where(F.col("_parent").isNotNull()).select(
         "repo", F.col("_parent").alias("commit_hash"), F.col("commit_hash").alias("_child")
     )
-    inherited = attach(manifests, counts.join(children, keys), keys, "_files", ["path"]).select(
+    # a commit with several children hands its files to each of them
+    inherited = attach_many(manifests, counts, children, COMMIT, "_files", ["path"]).select(
         "repo", F.col("_child").alias("commit_hash"), "path", F.col("content_hash").alias("_old")
     )
-    own = attach(manifests, counts.join(parents, keys), keys, "_files", ["path"])
-    later = own.where(F.col("_parent").isNotNull()).select(*keys, "path", F.col("content_hash").alias("_new"))
-    differ = later.join(inherited, [*keys, "path"], "full_outer").where(
+    own = attach(manifests, counts.join(parents, list(COMMIT)), COMMIT, "_files", ["path"])
+    later = own.where(F.col("_parent").isNotNull()).select(*COMMIT, "path", F.col("content_hash").alias("_new"))
+    differ = later.join(inherited, [*COMMIT, "path"], "full_outer").where(
         ~F.col("_old").eqNullSafe(F.col("_new"))
     )
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("modified")
     roots = (
         own.where(F.col("_parent").isNull())
-        .select(*keys, F.substring_index("path", "/", 1).alias("path"))
+        .select(*COMMIT, F.substring_index("path", "/", 1).alias("path"))
         .distinct()
         .withColumn("change", F.lit("root"))
     )
-    return differ.select(*keys, "path", change.alias("change")).unionByName(roots)
+    return differ.select(*COMMIT, "path", change.alias("change")).unionByName(roots)

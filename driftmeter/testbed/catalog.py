@@ -512,16 +512,20 @@ def _(spark, sf_dir):
     return publish(diff.delta_contributors(views.file_metrics(spark, sf_dir), numbered))
 
 
+def _snapshots(spark, sf_dir, commits: DataFrame) -> DataFrame:
+    versions = tables.stored_copy(snapshots.file_versions(views.changes(spark, sf_dir), commits))
+    return snapshots.unfold_versions(versions, commits)
+
+
 @query("changed_files")
 def _(spark, sf_dir):
-    commits = views.commit_table(spark, sf_dir)
-    manifests = snapshots.snapshot_at_commit(views.changes(spark, sf_dir), commits)
-    return publish(snapshots.changed_files(manifests, commits))
+    commits = tables.stored_copy(views.commit_table(spark, sf_dir))
+    return publish(snapshots.changed_files(tables.stored_copy(_snapshots(spark, sf_dir, commits)), commits))
 
 
 @query("snapshot_at_commit")
 def _(spark, sf_dir):
-    return publish(snapshots.snapshot_at_commit(views.changes(spark, sf_dir), views.commit_table(spark, sf_dir)))
+    return publish(_snapshots(spark, sf_dir, tables.stored_copy(views.commit_table(spark, sf_dir))))
 
 
 # --- sorting and top-k -------------------------------------------------------------------
