@@ -47,14 +47,6 @@ def band_below(value: Column, scale: Sequence[tuple[float | None, str]], inclusi
     return label
 
 
-def gradient_step(value: Column, bounds: Sequence[float]) -> Column:
-    """0-based step of a gradient: the number of bounds the value has reached."""
-    step = F.lit(len(bounds))
-    for index in range(len(bounds) - 1, -1, -1):
-        step = F.when(value < F.lit(bounds[index]), F.lit(index)).otherwise(step)
-    return step
-
-
 def drift_grade(entropy: Column) -> Column:
     return band_below(entropy, fixed.DRIFT_GRADES)
 

@@ -2,8 +2,9 @@
 
 Histories are one row per commit, ordered by (ts, commit_hash) inside a
 repository.  A repository may own a large share of all commits, so no window
-runs over a whole repository: time is cut into chunks (months by default) and
-``skew.with_carry`` hands each chunk what lies outside it.
+runs over a whole repository: time is cut into hours and ``skew.with_carry``
+hands each hour what lies outside it.  The calendar bounds the summaries of a
+repository at 8,766 rows a year, however many commits it has.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..functions import fixed, measures
 from .skew import attach, with_carry
 
 ORDER = ("ts", "commit_hash")
+# scores lie in 0..5, so this many chunks per unit bound the summaries of a repository at 50,000 rows
+_SCORE_CHUNKS = 10_000
 
 
 def _in_chunk():
@@ -27,7 +30,7 @@ def _so_far():
     return _in_chunk().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def add_chunk(history: DataFrame, unit: str = "month") -> DataFrame:
+def add_chunk(history: DataFrame, unit: str = "hour") -> DataFrame:
     return history.withColumn("_chunk", F.date_trunc(unit, F.col("ts")))
 
 
@@ -35,7 +38,7 @@ def _position(rows_before: str = "_rows_before") -> Column:
     return F.coalesce(F.col(rows_before), F.lit(0)) + F.row_number().over(_in_chunk())
 
 
-def number_commits(commits: DataFrame, unit: str = "month") -> DataFrame:
+def number_commits(commits: DataFrame, unit: str = "hour") -> DataFrame:
     """Add ``commit_seq`` (1 = oldest) and ``commit_count`` of the repository."""
     one = F.count(F.lit(1))
     rows = with_carry(
@@ -84,7 +87,7 @@ def metrics_chronological(metrics: DataFrame, commits: DataFrame) -> DataFrame:
 
 # --- steps between commits ---------------------------------------------------------------
 
-def with_previous(history: DataFrame, columns: Sequence[str], unit: str = "month") -> DataFrame:
+def with_previous(history: DataFrame, columns: Sequence[str], unit: str = "hour") -> DataFrame:
     """Add ``commit_seq`` and ``prev_<column>`` of the commit before.  Keeps ``_chunk``."""
     values = F.struct(*columns)
     rows = with_carry(
@@ -344,7 +347,7 @@ def percentile_position(history: DataFrame, current: DataFrame | None = None, mi
     values = (
         points.groupBy("repo", "entropy")
         .agg(F.sum("_stored").alias("_weight"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_chunk", F.floor(F.col("entropy") * 100))
+        .withColumn("_chunk", F.floor(F.col("entropy") * _SCORE_CHUNKS))
     )
     stored = F.when(F.col("_weight") > 0, F.col("entropy"))
     placed = with_carry(

@@ -118,52 +118,54 @@ def detected_languages(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # --- bands -------------------------------------------------------------------------------
 
 _BANDED = {
-    "sloc": lambda: F.col("sloc"),
-    "cc": lambda: F.col("cc"),
-    "smells": measures.weighted_smells,
-    "coupling": lambda: F.col("coupling"),
-    "badness": lambda: F.col("badness"),
-    "diffusion": lambda: F.col("diffusion"),
-    "delta": lambda: F.col("delta"),
+    "sloc": "sloc",
+    "cc": "cc",
+    "smells": f"({measures.WEIGHTED_SMELLS})",
+    "coupling": "coupling",
+    "badness": "badness",
+    "diffusion": "diffusion",
+    "delta": "delta",
 }
 
 
-def severity_bands(files: DataFrame, scales: Sequence[str], keys: Sequence[str] = COMMIT) -> DataFrame:
-    """Files per severity band for several scales in one pass and one shuffle.
+def _counted(files: DataFrame, keys: Sequence[str], cells: list[tuple[str, str, str]], label: str) -> DataFrame:
+    """Long histogram (keys, scale, <label>, file_count) from (scale, label value as SQL, condition) cells.
 
-    Each file row becomes one (scale, band) pair per scale; the partial
-    aggregation folds them before anything moves.
+    All cells are counters of one aggregation, so a task hands on one row per
+    key; they are turned into rows afterwards.  Empty cells are left out.
     """
-    pairs = [
-        F.struct(
-            F.lit(scale).alias("scale"),
-            measures.band_above(_BANDED[scale](), fixed.SEVERITY_SCALES[scale]).alias("band"),
-        )
-        for scale in scales
-    ]
-    return (
-        files.select(*keys, F.explode(F.array(*pairs)).alias("pair"))
-        .groupBy(*keys, F.col("pair.scale").alias("scale"), F.col("pair.band").alias("band"))
-        .agg(F.count(F.lit(1)).alias("file_count"))
-    )
+    counters = [F.expr(f"count_if({condition}) as _cell{i}") for i, (_, _, condition) in enumerate(cells)]
+    wide = files.groupBy(*keys).agg(*counters)
+    rows = ", ".join(f"'{scale}', {value}, _cell{i}" for i, (scale, value, _) in enumerate(cells))
+    long = wide.selectExpr(*keys, f"stack({len(cells)}, {rows}) as (scale, {label}, file_count)")
+    return long.where(F.col("file_count") > 0)
+
+
+def severity_bands(files: DataFrame, scales: Sequence[str], keys: Sequence[str] = COMMIT) -> DataFrame:
+    """Files per severity band for several scales: one pass, one shuffle."""
+    cells = []
+    for scale in scales:
+        value, upper = _BANDED[scale], None
+        for bound, name in fixed.SEVERITY_SCALES[scale]:
+            tests = [f"{value} > {bound}"] if bound is not None else []
+            tests += [f"{value} <= {upper}"] if upper is not None else []
+            cells.append((scale, f"'{name}'", " and ".join(tests)))
+            upper = bound
+    return _counted(files, keys, cells, "band")
 
 
 def size_gradient_bands(
     files: DataFrame, scales: Sequence[str] = tuple(fixed.SIZE_GRADIENTS), keys: Sequence[str] = COMMIT
 ) -> DataFrame:
-    """Histogram of files over the ten-step gradients."""
-    pairs = [
-        F.struct(
-            F.lit(scale).alias("scale"),
-            measures.gradient_step(_BANDED[scale](), fixed.SIZE_GRADIENTS[scale]).alias("step"),
-        )
-        for scale in scales
-    ]
-    return (
-        files.select(*keys, F.explode(F.array(*pairs)).alias("pair"))
-        .groupBy(*keys, F.col("pair.scale").alias("scale"), F.col("pair.step").alias("step"))
-        .agg(F.count(F.lit(1)).alias("file_count"))
-    )
+    """Histogram of files over the ten-step gradients, lower bounds inclusive."""
+    cells = []
+    for scale in scales:
+        value, bounds = _BANDED[scale], fixed.SIZE_GRADIENTS[scale]
+        for step in range(len(bounds) + 1):
+            tests = [f"{value} >= {bounds[step - 1]}"] if step > 0 else []
+            tests += [f"{value} < {bounds[step]}"] if step < len(bounds) else []
+            cells.append((scale, str(step), " and ".join(tests)))
+    return _counted(files, keys, cells, "step")
 
 
 def gauge_columns(values: dict[str, Column]) -> list[Column]:

@@ -54,7 +54,7 @@ def unfold_versions(versions: DataFrame, commits: DataFrame) -> DataFrame:
     block_of = F.floor((F.col("commit_seq") - 1) / BLOCK).alias("_block")
     # commit_seq is dense, so a block never holds more than BLOCK hashes
     hashes = numbered.groupBy("repo", block_of).agg(
-        F.sort_array(F.collect_list(F.struct("commit_seq", "commit_hash"))).alias("_commits")
+        F.sort_array(F.collect_list(F.struct("commit_seq", "commit_hash")))["commit_hash"].alias("_commits")
     )
     first, last = F.col("first_seq"), F.col("last_seq")
     pieces = versions.withColumn(
@@ -62,11 +62,12 @@ def unfold_versions(versions: DataFrame, commits: DataFrame) -> DataFrame:
     )
     keys = ["repo", "_block"]
     counts = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pieces"))
-    joined = attach(pieces, counts.join(hashes, keys), keys, "_pieces", ["path"])
+    # a block's array weighs some 60 kB, hence fewer hot keys in the broadcast
+    joined = attach(pieces, counts.join(hashes, keys), keys, "_pieces", ["path"], max_hot_keys=200)
     start = F.greatest(first, F.col("_block") * BLOCK + 1)
     stop = F.least(last, (F.col("_block") + 1) * BLOCK)
     offset = (start - F.col("_block") * BLOCK).cast("int")
-    span = F.slice(F.col("_commits.commit_hash"), offset, (stop - start + 1).cast("int"))
+    span = F.slice(F.col("_commits"), offset, (stop - start + 1).cast("int"))
     return joined.select("repo", F.explode(span).alias("commit_hash"), "path", "content_hash")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmeter.operators import history, rollup, scoring
-from driftmeter.plans import compare, report
+from driftmeter.plans import compare, report, scan
 from driftmeter.sources import function_csv, snapshot_json, source_tree, tables
 from driftmeter.streaming.incremental import IncrementalScan
 
@@ -171,11 +171,11 @@ def test_report_and_drill_down(spark, make_files, make_history):
 def test_stream_equals_batch_and_replays(spark, make_files, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     files = [make_files({"sloc": i, "path": "a"}, {"sloc": 5, "path": "b", "cc": 2.0}, commit_hash=f"c{i}") for i in range(4)]
-    scan = IncrementalScan(root, lambda batch: batch)
+    sink = IncrementalScan(root, lambda batch: batch)
 
     def run():
         raw = spark.readStream.schema(files[0].schema).parquet(source)
-        scan.start(raw, str(tmp_path / "checkpoint")).awaitTermination()
+        sink.start(raw, str(tmp_path / "checkpoint")).awaitTermination()
 
     files[0].unionByName(files[1]).write.parquet(source)
     run()
@@ -185,9 +185,26 @@ def test_stream_equals_batch_and_replays(spark, make_files, tmp_path):
     run()
     batch = files[0].unionByName(files[1]).unionByName(files[2])
     expected = {tuple(r) for r in scoring.entropy_by_commit(batch).collect()}
-    assert [tuple(r) for r in scan.commit_metrics(spark).collect()].__len__() == 3
-    assert {tuple(r) for r in scan.commit_metrics(spark).collect()} == expected
+    assert [tuple(r) for r in sink.commit_metrics(spark).collect()].__len__() == 3
+    assert {tuple(r) for r in sink.commit_metrics(spark).collect()} == expected
     # a batch that is replayed after a crash replaces itself
-    scan.process(files[1].unionByName(files[2]), 1)
-    assert {tuple(r) for r in scan.commit_metrics(spark).collect()} == expected
-    assert scan.file_metrics(spark).count() == 6
+    sink.process(files[1].unionByName(files[2]), 1)
+    assert {tuple(r) for r in sink.commit_metrics(spark).collect()} == expected
+    assert sink.file_metrics(spark).count() == 6
+
+
+def test_scan_history_adds_only_new_commits(spark, tmp_path):
+    rows = [("r", c, p, t) for c in ("c1", "c2") for p, t in (("a.cs", "using A;\nx"), ("b.py", "# c\ny\nz"), ("obj/c.cs", "q"))]
+    texts = spark.createDataFrame(rows, "repo string, commit_hash string, path string, content string")
+    commits = spark.sql(
+        "select 'r' repo, c commit_hash, timestamp'2020-01-01' ts, array('0') parents from values ('c1'),('c2'),('empty') t(c)"
+    )
+    store = tables.MetricsStore(spark, str(tmp_path / "store"))
+    for extent in ("commit_hash = 'c1'", "true", "true"):
+        scan.scan_history(store, commits.where(extent), texts)
+    metrics = {r.commit_hash: r for r in store.read("commit_metrics").collect()}
+    assert set(metrics) == {"c1", "c2", "empty"}
+    assert (metrics["c2"].total_files, metrics["c2"].total_sloc, metrics["empty"].entropy) == (2, 4, 0.0)
+    assert store.read("file_metrics").count() == 4 and store.read("commits").count() == 3
+    overview = scan.scan_overview(store.read("file_metrics"))
+    assert {name: frame.count() for name, frame in overview.items()}["languages"] == 4
