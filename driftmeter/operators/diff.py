@@ -214,13 +214,9 @@ def delta_contributors(
     0.  A repository's first commit has nothing before it and gives no rows.
     ``numbered`` holds (repo, commit_hash, commit_seq).
     """
-    scored = scoring.badness_by_file(files, **limits).select(*COMMIT, "path", "badness")
     seq = numbered.select(*COMMIT, "commit_seq")
-    # the commit number joins the few commit rows to the many file rows: sliced like the scores
-    counts = files.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files")).join(seq, list(COMMIT))
-    from .skew import attach
-
-    placed = attach(scored, counts, COMMIT, "_files", ["path"], **limits).drop("_files")
+    scored = scoring.badness_by_file(files, commits=seq, **limits)
+    placed = scored.select(*COMMIT, "path", "commit_seq", "badness")
     before = placed.select(
         "repo", "path", (F.col("commit_seq") + 1).alias("commit_seq"), F.col("badness").alias("old_badness")
     )

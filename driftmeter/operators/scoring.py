@@ -72,8 +72,20 @@ def _with_ranges(files: DataFrame, keys: Sequence[str], limits: dict, keep_slice
     return skew.attach(known, feature_ranges(known, keys), keys, "_files", ["path"], keep_slice=keep_slice, **limits)
 
 
-def badness_by_file(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
-    return _with_ranges(files, keys, limits).selectExpr(*files.columns, f"{_BADNESS} as badness")
+def badness_by_file(
+    files: DataFrame, keys: Sequence[str] = COMMIT, commits: DataFrame | None = None, **limits
+) -> DataFrame:
+    """Add ``badness``, and the columns of ``commits`` (one row per commit; others drop out) if given.
+
+    Commit columns travel with the ranges of their commit, at no further join of files.
+    """
+    if commits is None:
+        return _with_ranges(files, keys, limits).selectExpr(*files.columns, f"{_BADNESS} as badness")
+    known = skew.keyed(files, keys)
+    stats = feature_ranges(known, keys).join(commits, list(keys))
+    rows = skew.attach(known, stats, keys, "_files", ["path"], **limits)
+    extra = [c for c in commits.columns if c not in keys]
+    return rows.selectExpr(*files.columns, *extra, f"{_BADNESS} as badness")
 
 
 def refactor_scores(
@@ -128,7 +140,11 @@ def _second_pass(files: DataFrame, keys: Sequence[str], limits: dict, *aggregate
     """Scored files with statistics of their commit's scores; reuses the partitioning of the first pass."""
     ranged = _with_ranges(files, keys, limits, keep_slice=True)
     scored = ranged.selectExpr(*files.columns, "_slice", f"{_BADNESS} as badness")
-    stats = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"), *aggregates)
+    # the statistics look at the path only so that both readers of the shuffled rows want
+    # the same columns of them; else Spark would shuffle the rows once for each reader
+    touched = F.expr("bit_xor(xxhash64(path)) as _paths")
+    stats = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"), *aggregates, touched)
+    stats = stats.where("_paths is not null").drop("_paths")
     return skew.attach(scored, stats, keys, "_files", ["path"], **limits)
 
 

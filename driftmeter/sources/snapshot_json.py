@@ -16,6 +16,7 @@ from ..operators import history as hist
 from ..operators import scoring, skew
 from ..operators.rollup import COMMIT
 from . import schemas
+from .tables import stored_copy
 
 
 # --- reading -----------------------------------------------------------------------------
@@ -135,9 +136,10 @@ def snapshot_lines(history: DataFrame, latest_files: DataFrame, generated: Colum
     entries = line(numbered, 1, F.col("commit_seq"), nothing, F.concat(entry, comma))
     middle = line(newest, 2, zero, nothing, F.lit('],"latestFiles":['))
 
-    # the greatest path closes the list: known from one aggregation, so no file waits for another
-    scored = scoring.badness_by_file(latest_files)
-    last = latest_files.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files"), F.max("path").alias("_last"))
+    # the greatest path closes the list: known from one aggregation, so no file waits for another.
+    # The scores are read twice, by it and by the lines, hence stored.
+    scored = stored_copy(scoring.badness_by_file(latest_files))
+    last = scored.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files"), F.max("path").alias("_last"))
     marked = skew.attach(scored, last, COMMIT, "_files", ["path"])
     fields = [F.col(column).alias(name) for name, column in _FILE_COLUMNS.items()]
     file_line = F.concat(F.to_json(F.struct(*fields)), F.when(F.col("path") < F.col("_last"), ",").otherwise(""))

@@ -193,7 +193,9 @@ def test_stream_equals_batch_and_replays(spark, make_files, tmp_path):
     assert sink.file_metrics(spark).count() == 6
 
 
-def test_scan_history_adds_only_new_commits(spark, tmp_path):
+@pytest.mark.parametrize("few", [100, 0])
+def test_scan_history_adds_only_new_commits(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(scan, "FEW_COMMITS", few)
     rows = [("r", c, p, t) for c in ("c1", "c2") for p, t in (("a.cs", "using A;\nx"), ("b.py", "# c\ny\nz"), ("obj/c.cs", "q"))]
     texts = spark.createDataFrame(rows, "repo string, commit_hash string, path string, content string")
     commits = spark.sql(
