@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, measures
-from .skew import attach, with_carry
+from .skew import attach, keyed, with_carry
 
 ORDER = ("ts", "commit_hash")
 # scores lie in 0..5, so this many chunks per unit bound the summaries of a repository at 50,000 rows
@@ -68,7 +68,7 @@ def history_join(metrics: DataFrame, commits: DataFrame) -> DataFrame:
     are kept with the earliest possible time.
     """
     known = commits.select("repo", "commit_hash", "ts", "parents")
-    joined = metrics.join(known, ["repo", "commit_hash"], "left")
+    joined = keyed(metrics, ["repo"]).join(known, ["repo", "commit_hash"], "left")
     found = joined.groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"), F.count("ts").alias("_known"))
     beginning = F.lit("0001-01-01 00:00:00").cast(commits.schema["ts"].dataType)
     rows = attach(joined, found, ["repo"], "_rows", ["commit_hash"])

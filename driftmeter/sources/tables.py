@@ -58,9 +58,9 @@ class MetricsStore:
     """Parquet tables below one root.
 
     Tables are partitioned by a hash bucket of the repository, so the number of
-    directories is fixed however many repositories there are, and range sorted
-    by key inside an append: a repository's or commit's rows lie together, file
-    statistics prune by repository, and a huge repository spans many files.
+    directories is fixed however many repositories there are.  Files are sorted
+    by key, so their statistics prune by repository and commit, and rebalanced,
+    so a huge repository spans many files and small ones share.
     """
 
     spark: SparkSession
@@ -85,9 +85,10 @@ class MetricsStore:
         bucket = F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int")
         columns = SCHEMAS[table].names
         bucketed = rows.select(*columns, bucket.alias("repo_bucket"))
-        placed = bucketed.repartitionByRange("repo_bucket", *KEYS[table])
-        sorted_rows = placed.sortWithinPartitions("repo_bucket", *KEYS[table])
-        sorted_rows.write.mode("append").partitionBy("repo_bucket").parquet(self.path(table))
+        # adaptive execution splits what is too big for a file and joins what is too small;
+        # unlike a range partitioning this does not compute the rows once more to sample them
+        placed = bucketed.hint("rebalance", "repo_bucket")
+        placed.sortWithinPartitions("repo_bucket", *KEYS[table]).write.mode("append").partitionBy("repo_bucket").parquet(self.path(table))
 
     def add_scan(self, commits: DataFrame, files: DataFrame, metrics: DataFrame) -> None:
         """Store a scan.  Commits go last: a scan that broke off is scanned again and adds what is missing."""
