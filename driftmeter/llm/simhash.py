@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import components, stored
+from driftmeter.llm.common import components, shuffle_partitions, stored
 
 SEED = 42
 SHINGLE = 3
@@ -83,6 +83,8 @@ def links(prints: DataFrame) -> DataFrame:
     """
     spark_one = F.lit(1).cast("long")
     grid = prints.select("fp", F.explode(_cells(bit_counts(F.col("fp")))).alias("cell")).filter("cell is not null")
+    # dealt by cell once, for the count and the semi-join; prints are distinct, so no cell holds many of them
+    grid = grid.repartition(shuffle_partitions(prints.sparkSession), "cell")
     busy = grid.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
     near = grid.join(busy, "cell", "left_semi")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(spark_one, b)) for b in range(64)])
