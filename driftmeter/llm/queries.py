@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmeter.llm import byte_bpe, mixing, quality_rules, simhash, suffix_dedup, token_files
+from driftmeter.llm import byte_bpe, mixing, quality_rules, sharding, simhash, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    return found.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -48,5 +55,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
