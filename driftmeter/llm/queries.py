@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmeter.llm import byte_bpe, mixing, quality_rules, sharding, simhash, suffix_dedup, token_files
+from driftmeter.llm import byte_bpe, mixing, quality_rules, sharding, simhash, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    fold = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    machine = toxicity.fitted(docs, labels.filter(fold() != 0))
+    found = toxicity.scored(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), machine)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, op10_toxicity, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
