@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmeter.llm.common import ship
+
 #: Pieces and pairs kept at most by a Python worker; more are computed again.
 CACHED_PIECES = 400_000
 CACHED_PAIRS = 1_000_000
@@ -189,6 +191,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     The file of ranks is read by each worker from ranks_path, which must exist on every executor.
     """
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf(_TOKENS)
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(ranks_path, pattern)
@@ -203,6 +207,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with n_tokens and the lowercase hex SHA-256 of its ids (ids_sha256) and of the decoded bytes."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(ranks_path, pattern)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this subpackage to the executors, once for each session's context: their Python workers need not have it
+    on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="llm-code-"), "driftmeter_llm.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        out.writestr("driftmeter/__init__.py", "")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                out.write(os.path.join(here, name), f"driftmeter/llm/{name}")
+    context.addPyFile(archive)
+    context._llm_shipped = True
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: a lost executor costs no earlier step."""
     spark = df.sparkSession

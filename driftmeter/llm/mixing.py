@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import stored
+from driftmeter.llm.common import ship, stored
 
 #: Weights of the sources in the order of their names (code points), null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -175,6 +175,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     Null and empty texts have no words and are never taken. A null source is a source like any other, the last. Rows
     without an id take part. Other columns of docs are not read. An empty table gives empty results.
     """
+    ship(docs.sparkSession)
     row = F.xxhash64(F.col(id_col), F.col(source), F.col(text))
     units = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     units = stored(units.groupBy("row", "id", "source", "size").agg(F.count("*").alias("copies")), "units")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from driftmeter.llm.common import stored, work_folder
+from driftmeter.llm.common import ship, stored, work_folder
 
 SHARDS = 40
 #: Bytes of text in a bucket, about.
@@ -58,6 +58,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "
     names are replaced. Rows with null text or id take part; repeated rows are rows of their own. An empty table gives
     an empty result. Equal texts are not kept together: every row is placed for itself.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("shard", "slot")
     rows, base = _scattered(docs, text, id_col, bucket_bytes, seed)
 

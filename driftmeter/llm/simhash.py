@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import components, shuffle_partitions, stored
+from driftmeter.llm.common import components, ship, shuffle_partitions, stored
 
 SEED = 42
 SHINGLE = 3
@@ -109,6 +109,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     without an id get it too (null if no row of the component has an id). Repeated rows each give a row. Other columns
     of docs are not read, whatever their names. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     marked = stored(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text), shingle).alias("fp")), "fingerprints")
     of = _classes(marked)
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -121,6 +122,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingl
     Rows without an id come after those with one; ties go to the smallest hash of the whole row, and of rows that are
     the same in all columns one stays.
     """
+    ship(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("g"))
     rows = docs.select(*columns, whole.alias("_row"))

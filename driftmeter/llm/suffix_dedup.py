@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import bucketed, shuffle_partitions, stored
+from driftmeter.llm.common import bucketed, ship, shuffle_partitions, stored
 
 LENGTH = 200
 GRAM = 64
@@ -346,6 +346,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     shorter texts stay whole. Repeated rows are copies of each other. Columns named n_bytes, n_removed, n_spans or kept
     are replaced; all others stay. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     docs = docs.drop(*({"n_bytes", "n_removed", "n_spans", "kept"} - {text}))
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftmeter.llm.common import shuffle_partitions, stored, work_folder
+from driftmeter.llm.common import ship, shuffle_partitions, stored, work_folder
 
 MAGIC = b"S8b1"
 HEADER = struct.Struct("<4sqBBIIII")
@@ -231,6 +231,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, text: str
     Null texts count as empty. Rows without an id come first; equal ids are in the order of their texts. Files are parts
     of a range sort, so the order of names is the order of documents.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
     coded = dealt.mapInArrow(_encode(tokenizer, end), "value binary")
@@ -253,6 +254,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_tokens(spark, path: str) -> DataFrame:
     """One row for each document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = stored(files.mapInPandas(_digest, "file string, place long, id long, before long, n_tokens long, ids_crc32 long"), "tokens")
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("ids"))  # one row for each file

@@ -27,11 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmeter.llm.common import ship
+
 MAX_LABELLED = 5000
-LANDMARKS = 96
+LANDMARKS = 64
 SPAN = 5
 DECAY = 0.7
 POWER = 3
+#: Words that may become landmarks for what is toxic.
+CANDIDATES = 800
 #: Features of a kernel are told apart by a hash of this many bits.
 BITS = 16
 #: Characters of a word that are compared; longer words are compared in pieces of this length, at each half.
@@ -110,9 +114,14 @@ class Machine:
         pieces = [_pieces(w) for w in some]
         flat = [p for ps in pieces for p in ps]
         out = np.zeros((len(flat), self.table.shape[1]), np.float32)
+        by_length = sorted(range(len(flat)), key=lambda k: len(flat[k]))  # short words have few subsequences
         for at in range(0, len(flat), 1024):
-            ids, weights = features(flat[at : at + 1024])
-            out[at : at + 1024] = np.einsum("nf,nfl->nl", weights, self.table[ids], optimize=False)
+            some = by_length[at : at + 1024]
+            ids, weights = features([flat[k] for k in some])
+            total = np.zeros((len(some), self.table.shape[1]), np.float32)
+            for column in np.flatnonzero(ids.any(axis=0)):
+                total += weights[:, column, None] * self.table[ids[:, column]]
+            out[some] = total
         starts = np.cumsum([0, *map(len, pieces)])[:-1]
         return (np.maximum.reduceat(out, starts, axis=0) if len(flat) else out) ** POWER
 
@@ -171,25 +180,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _landmarks(held: list[set[str]], toxic: np.ndarray, count: int) -> tuple[list[str], dict[str, float]]:
     """Landmarks and the log odds of each word. held: the words of each text."""
-    bad, good = Counter(w for s in held if 0 for w in s), Counter()
+    bad, good = Counter(), Counter()
     for s, t in zip(held, toxic, strict=True):
         (bad if t else good).update(s)
     n, m = int(toxic.sum()), int((~toxic).sum())
     odds = {w: float(np.log((k + 0.5) / (n + 1)) - np.log((good[w] + 0.5) / (m + 1))) for w, k in bad.items() if k > 1 and 2 < len(w) <= WORD}
     ranked = sorted(odds, key=lambda w: (-bad[w] * odds[w], w))
     usual = sorted((w for w in good if 2 < len(w) <= WORD), key=lambda w: (-good[w], w))
+    some = ranked[:CANDIDATES]
     chosen: list[str] = []
-    vectors = np.zeros((0, 1 << BITS), np.float32)
-    for some, upto in ((ranked[:600], count * 2 // 3), (usual[:300], count)):
-        ids, weights = features(some)
-        for w, i, v in zip(some, ids, weights, strict=True):
-            if len(chosen) >= upto:
-                break
-            row = np.bincount(i, v, 1 << BITS).astype(np.float32)
-            if not len(vectors) or (vectors @ row).max() < 0.8:
-                chosen.append(w)
-                vectors = np.vstack([vectors, row])
-    return chosen, odds
+    if some:
+        rows = np.zeros((len(some), 1 << BITS), np.float32)
+        for row, i, v in zip(rows, *features(some), strict=True):
+            row += np.bincount(i, v, 1 << BITS).astype(np.float32)
+        alike = rows @ rows.T > 0.5
+        where = {w: k for k, w in enumerate(some)}
+        holds = np.zeros((n, len(some)), bool)
+        for d, s in enumerate(s for s, t in zip(held, toxic, strict=True) if t):
+            holds[d, [where[w] for w in s if w in where]] = True
+        # a text counts less the more landmarks it has words like
+        left, gain = np.ones(n), np.array([odds[w] for w in some])
+        for _ in range(min(len(some), count * 2 // 3)):
+            k = int(np.argmax((left @ holds) * gain))
+            chosen.append(some[k])
+            gain[k] = -1
+            left[holds[:, alike[k]].any(axis=1)] *= 0.5
+    return chosen + [w for w in usual if w not in chosen][: count - len(chosen)], odds
 
 
 def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Machine:
@@ -256,23 +272,23 @@ class _Scorer:
         self.machine, self.known = machine, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        known = self.known
         parts = [[s.lower().split() for s in sentences(t)] for t in texts]
-        new = list({w for p in parts for s in p for w in s if w not in known})
+        here = set(itertools.chain.from_iterable(itertools.chain.from_iterable(parts)))
+        new = [w for w in here if w not in self.known]
         letters = [_LETTERS.sub("", w) for w in new]
         # a single letter has no value by itself: None says that it may be part of a run
-        values = self.machine.values(letters)
-        fresh = {w: (None if len(u) == 1 else v if u else 0.0) for w, u, v in zip(new, letters, values, strict=True)}
+        fresh = {w: (None if len(u) == 1 else v if u else 0.0) for w, u, v in zip(new, letters, self.machine.values(letters), strict=True)}
+        known = self.known
+        for w in here:
+            if w not in fresh:
+                fresh[w] = known[w]
         if len(known) < CACHED_WORDS:
-            known.update(itertools.islice(fresh.items(), CACHED_WORDS - len(known)))
+            known.update((w, fresh[w]) for w in new[: CACHED_WORDS - len(known)])
         offset, out = self.machine.offset, []
         for p in parts:
             found = []
             for s in p:
-                if not fresh or not (fresh.keys() & s):
-                    got = [known[w] for w in s]
-                else:
-                    got = [known[w] if w in known else fresh[w] for w in s]
+                got = [fresh[w] for w in s]
                 if None in got:
                     units = [w for w in _joined([_LETTERS.sub("", w) for w in s]) if w]
                     found.append((sum(self.machine.values(units)) + offset, len(units)))
@@ -285,6 +301,7 @@ class _Scorer:
 def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """docs with score, from 0 to 1. Null and empty texts get the score of a text without sentences. The score depends
     on the text alone; a column of docs named score is replaced."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2 ** BITS x LANDMARKS numbers, whatever the input
 
     @F.pandas_udf("double")
