@@ -30,21 +30,25 @@ from pyspark.sql import functions as F
 from driftmeter.llm.common import ship
 
 MAX_LABELLED = 5000
-LANDMARKS = 64
+LANDMARKS = 96
 SPAN = 5
 DECAY = 0.7
 POWER = 3
 #: Words that may become landmarks for what is toxic.
-CANDIDATES = 800
+CANDIDATES = 600
+#: Cosine of words that stand for each other when landmarks are chosen.
+ALIKE = 0.7
 #: Features of a kernel are told apart by a hash of this many bits.
 BITS = 16
 #: Characters of a word that are compared; longer words are compared in pieces of this length, at each half.
 WORD = 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Subsequences by the places of their characters after the first.
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHTS = np.array([DECAY ** (j + 1 - 3) for _, j in _GAPS], np.float32)
 _LETTERS = re.compile(r"[\W\d_]+")
+#: Three single letters in a row, as chunks of their own.
+_RUN = re.compile(r"(?:(?<!\S)[^\w\s]*[^\W\d_][^\w\s]*(?:\s|$)){3}")
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -117,11 +121,7 @@ class Machine:
         by_length = sorted(range(len(flat)), key=lambda k: len(flat[k]))  # short words have few subsequences
         for at in range(0, len(flat), 1024):
             some = by_length[at : at + 1024]
-            ids, weights = features([flat[k] for k in some])
-            total = np.zeros((len(some), self.table.shape[1]), np.float32)
-            for column in np.flatnonzero(ids.any(axis=0)):
-                total += weights[:, column, None] * self.table[ids[:, column]]
-            out[some] = total
+            out[some] = _cosines(*features([flat[k] for k in some]), self.table)
         starts = np.cumsum([0, *map(len, pieces)])[:-1]
         return (np.maximum.reduceat(out, starts, axis=0) if len(flat) else out) ** POWER
 
@@ -178,6 +178,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _newton(x, both, np.zeros(x.shape[1]), 60)
 
 
+def _table(some: list[str]) -> np.ndarray:
+    """Features to the words' vectors."""
+    ids, weights = features(some)
+    table = np.zeros((1 << BITS, len(some)), np.float32)
+    for k in range(len(some)):
+        table[:, k] = np.bincount(ids[k], weights[k], 1 << BITS)
+    table[0] = 0
+    return table
+
+
+def _cosines(ids: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(ids), table.shape[1]), np.float32)
+    for column in np.flatnonzero(ids.any(axis=0)):
+        total += weights[:, column, None] * table[ids[:, column]]
+    return total
+
+
 def _landmarks(held: list[set[str]], toxic: np.ndarray, count: int) -> tuple[list[str], dict[str, float]]:
     """Landmarks and the log odds of each word. held: the words of each text."""
     bad, good = Counter(), Counter()
@@ -190,10 +207,7 @@ def _landmarks(held: list[set[str]], toxic: np.ndarray, count: int) -> tuple[lis
     some = ranked[:CANDIDATES]
     chosen: list[str] = []
     if some:
-        rows = np.zeros((len(some), 1 << BITS), np.float32)
-        for row, i, v in zip(rows, *features(some), strict=True):
-            row += np.bincount(i, v, 1 << BITS).astype(np.float32)
-        alike = rows @ rows.T > 0.5
+        alike = _cosines(*features(some), _table(some)) > ALIKE
         where = {w: k for k, w in enumerate(some)}
         holds = np.zeros((n, len(some)), bool)
         for d, s in enumerate(s for s, t in zip(held, toxic, strict=True) if t):
@@ -217,12 +231,7 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
     nothing = Machine(np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 0.0, np.zeros(0), prior)
     if not chosen:
         return nothing
-    ids, weights = features(chosen)
-    table = np.zeros((1 << BITS, len(chosen)), np.float32)
-    for k in range(len(chosen)):
-        table[:, k] = np.bincount(ids[k], weights[k], 1 << BITS)
-    table[0] = 0
-    machine = Machine(table, np.zeros(len(chosen)), 0.0, np.zeros(0), prior)
+    machine = Machine(_table(chosen), np.zeros(len(chosen)), 0.0, np.zeros(0), prior)
     square = machine.kernel(chosen).astype(np.float64)
     root, axes = np.linalg.eigh((square + square.T) / 2)
     white = axes @ np.diag(1 / np.sqrt(np.maximum(root, 1e-3))) @ axes.T
@@ -231,9 +240,11 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
     values = machine.kernel(distinct)
     flat = [ws for p in parts for ws in p]
     of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    at = np.cumsum([0, *map(len, flat)])[:-1]
-    sums = np.add.reduceat(values[[number[w] for ws in flat for w in ws]], at, axis=0).astype(np.float64)
-    x, bad = sums @ white, toxic[of]
+    x, bad = np.zeros((len(flat), len(chosen))), toxic[of]
+    for lo in range(0, len(flat), 4096):
+        some = flat[lo : lo + 4096]
+        at = np.cumsum([0, *map(len, some)])[:-1]
+        x[lo : lo + 4096] = np.add.reduceat(values[[number[w] for ws in some for w in ws]], at, axis=0) @ white
     look = np.array([max((odds.get(w, 0.0) for w in ws), default=0.0) for ws in flat])
     for _ in range(3):
         best = np.full(len(parts), -np.inf)
@@ -276,8 +287,7 @@ class _Scorer:
         here = set(itertools.chain.from_iterable(itertools.chain.from_iterable(parts)))
         new = [w for w in here if w not in self.known]
         letters = [_LETTERS.sub("", w) for w in new]
-        # a single letter has no value by itself: None says that it may be part of a run
-        fresh = {w: (None if len(u) == 1 else v if u else 0.0) for w, u, v in zip(new, letters, self.machine.values(letters), strict=True)}
+        fresh = {w: v if u else 0.0 for w, u, v in zip(new, letters, self.machine.values(letters), strict=True)}
         known = self.known
         for w in here:
             if w not in fresh:
@@ -289,10 +299,9 @@ class _Scorer:
             found = []
             for s in p:
                 got = [fresh[w] for w in s]
-                if None in got:
-                    units = [w for w in _joined([_LETTERS.sub("", w) for w in s]) if w]
-                    found.append((sum(self.machine.values(units)) + offset, len(units)))
-                elif got:
+                if len(" ".join(s)) < 5 * len(s) and _RUN.search(" ".join(s)):
+                    got = self.machine.values([w for w in _joined([_LETTERS.sub("", w) for w in s]) if w])
+                if got:
                     found.append((sum(got) + offset, len(got)))
             out.append(self.machine.measures(found))
         return self.machine.score(out)
