@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmeter.llm import byte_bpe, mixing, quality_rules, sharding, simhash, suffix_dedup, token_files, toxicity
+from driftmeter.llm import byte_bpe, mixing, projected_search, quality_rules, sharding, simhash, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op4_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
@@ -63,5 +67,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, op10_toxicity, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op4_projected_search, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, op10_toxicity, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
