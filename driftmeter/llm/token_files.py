@@ -17,6 +17,8 @@ reaches, and a task that is run again leaves one file.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,10 +44,9 @@ ESCAPE = 15
 SEGMENT = 1 << 19
 #: Ids coded or decoded together, about.
 TOGETHER = 1 << 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 _COUNTS = np.array([n for n, _ in PACKINGS] + [0, 1], np.int64)
-_BITS = np.array([b for _, b in PACKINGS] + [0, 60], np.int64)
 
 
 def pack(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,37 +65,44 @@ def pack(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     table[:, :BLOCK][np.arange(BLOCK) < ends[:, None]] = np.concatenate([np.zeros(0, np.uint64), *parts])
     width = np.frexp(table.astype(np.float64))[1].astype(np.uint8)  # rounding may add a bit, which does no harm
     fits = np.full((len(index), BLOCK), len(PACKINGS) - 1, np.int8)
-    small = np.zeros((len(index), table.shape[1] + 1), np.int16)
-    for s in range(len(PACKINGS) - 2, -1, -1):  # the most ids last: they win
-        count, bits = PACKINGS[s]
-        np.cumsum(width <= bits, axis=1, out=small[:, 1:])
-        fits[small[:, count : count + BLOCK] - small[:, :BLOCK] == count] = s
+    largest = width[:, :BLOCK].copy()  # of the next 1, 2, 3, ... ids
+    selectors = {count: s for s, (count, _) in enumerate(PACKINGS)}
+    for count in range(2, PACKINGS[0][0] + 1):
+        np.maximum(largest, width[:, count - 1 : count - 1 + BLOCK], out=largest)
+        if count in selectors:
+            fits[largest <= PACKINGS[selectors[count]][1]] = selectors[count]
     fits[table[:, :BLOCK] >> np.uint64(60) != 0] = ESCAPE
-    words, owners = [np.zeros(0, np.uint64)], [index[:0]]
+    places, owners, chosen = [index[:0]], [index[:0]], [index[:0]]
     at, live = np.zeros(len(index), np.int64), index
     while len(live):
-        s = fits[live, at[live]].astype(np.int64)
-        word, counts = s.astype(np.uint64), _COUNTS[s]
-        for k in range(int(counts.max())):
-            use = np.flatnonzero((k < counts) & (s != ESCAPE))
-            word[use] |= table[live[use], at[live[use]] + k] << (4 + k * _BITS[s[use]]).astype(np.uint64)
-        words.append(word)
+        place = at[live]
+        s = fits[live, place].astype(np.int64)
         owners.append(live)
-        at[live] += counts
-        live = live[at[live] < ends[live]]
+        places.append(place)
+        chosen.append(s)
+        at[live] = place = place + _COUNTS[s]
+        live = live[place < ends[live]]
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    packed, owner = np.concatenate(words)[order], owner[order]
+    owner, place, chosen = owner[order], np.concatenate(places)[order], np.concatenate(chosen)[order]
+    packed = chosen.astype(np.uint64)
+    for s in np.unique(chosen):
+        if s != ESCAPE:
+            of_s = np.flatnonzero(chosen == s)
+            rows, first_id, word = owner[of_s], place[of_s], packed[of_s]
+            for k in range(PACKINGS[s][0]):
+                word |= table[rows, first_id + k] << np.uint64(4 + k * PACKINGS[s][1])
+            packed[of_s] = word
     starts = np.searchsorted(owner, np.arange(len(index) + 1))
     large = (fits == ESCAPE).any(axis=1)
     for k, part in enumerate(parts):
         cut = starts[first[k] : first[k] + blocks[k] + 1]
         own = packed[cut[0] : cut[-1]] if blocks[k] else packed[:0]
-        escapes = part[:0]
+        escapes = packed[:0]
         if large[first[k] : first[k] + blocks[k]].any():
             odd = np.flatnonzero(own & np.uint64(15) == ESCAPE)
             own[odd] |= np.arange(len(odd), dtype=np.uint64) << np.uint64(4)
-            escapes = part[part >> np.uint64(60) != 0]
+            escapes = part[part >= 1 << 60].astype(np.uint64)
         yield (cut[:-1] - cut[0] if blocks[k] else cut[:0]).astype(np.uint32), own, escapes
 
 
@@ -159,53 +168,73 @@ def read_segments(raw: bytes) -> Iterator[tuple[int | None, bool, np.ndarray]]:
             heads, parts, size = [], [], 0
 
 
+_LATIN = re.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u024f]+").fullmatch
+
+
 class Words:
     """Ids of texts by a tokenizer that drops white space, and so gives a text what it gives its words one by one.
 
-    Frequent words are kept; the others of a batch go to the tokenizer in one text, each once, and come back by their
-    places in it.
+    A word of Latin letters is normalized and parted by the tokenizer's own pattern; the ids of frequent words and parts are kept, as
+    bytes (32 bits each). New parts go to the tokenizer many at a time, with a part of known id between them.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        parts = [(t or "").encode().split() for t in texts]
+        rules = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
+        self.parts = regex.compile(rules[0]["pattern"]["Regex"]).findall
+        self.mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [(t or "").encode().split() for t in texts]
         known = self.known
-        new = list({w for words in parts for w in words if w not in known})
-        found = self._ids(new)
-        if len(known) + len(found) <= CACHED_WORDS:
-            known.update(found)
-            found = known
-        else:
-            for w in new[: max(0, CACHED_WORDS - len(known))]:
-                known[w] = found[w]
-            found = {w: known.get(w) or found[w] for words in parts for w in words} if found else known
-        for words in parts:
-            yield list(chain.from_iterable(map(found.__getitem__, words)))
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        out: dict[bytes, tuple[int, ...]] = {}
-        for at in range(0, len(words), 10_000):
-            some = words[at : at + 10_000]
-            text = [w.decode() for w in some]
-            coded = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-            ends = np.cumsum([len(t) + 1 for t in text])
-            first = np.array([a for a, _ in coded.offsets], np.int64)
-            cuts = np.searchsorted(first, ends).tolist()
-            ids, lo = coded.ids, 0
-            for w, hi in zip(some, cuts, strict=True):
-                out[w] = tuple(ids[lo:hi])
-                lo = hi
+        new = set().union(*split).difference(known)
+        self._learn(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        if len(known) > CACHED_WORDS:
+            for w in new:
+                del known[w]
         return out
 
+    def _learn(self, new: set[bytes]) -> None:
+        normal = self.tokenizer.normalizer.normalize_str
+        parted = []
+        for raw in new:
+            w = raw.decode()
+            # in Latin letters, this pattern means the same here as in the tokenizer; other words go to it whole
+            parted.append(self.parts(w.lower() if w.isascii() else normal(w)) if _LATIN(w) else [w])
+        known = self.known_parts
+        some = set(chain.from_iterable(parted)).difference(known)
+        self._encode_parts(list(some))
+        self.known.update((w, b"".join(map(known.__getitem__, p))) for w, p in zip(new, parted, strict=True))
+        if len(known) > CACHED_WORDS:
+            for p in some:
+                del known[p]
+
+    def _encode_parts(self, some: list[str]) -> None:
+        odd = [p for p in some if "|" in p or len(self.mark) != 1]
+        plain = [p for p in some if "|" not in p and len(self.mark) == 1]
+        for p in odd:
+            self.known_parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(plain), 5_000):
+            here = plain[at : at + 5_000]
+            (coded,) = self.tokenizer.encode_batch_fast([" | ".join(here)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0])
+            raw, lo = ids.tobytes(), 0
+            for p, hi in zip(here, [*(4 * cuts).tolist(), len(raw)], strict=True):
+                self.known_parts[p] = raw[lo:hi]
+                lo = hi + 4
+
 
 _coders: dict[str, Words] = {}
 
 
 def _encode(path: str, end: int):
+    last = np.array([end], "<u4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _coders:
             _coders[path] = Words(path)
@@ -213,8 +242,7 @@ def _encode(path: str, end: int):
             some: list[tuple[int | None, np.ndarray]] = []
             size = 0
             for key, ids in zip(batch["id"].to_pylist(), _coders[path].encode(batch["text"].to_pylist()), strict=True):
-                ids.append(end)
-                some.append((key, np.array(ids, np.uint64)))
+                some.append((key, np.concatenate([ids, last])))
                 size += len(ids)
                 if size >= TOGETHER:
                     yield pa.RecordBatch.from_arrays([pa.array(segments(some), pa.binary())], names=["value"])
