@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmeter.llm import byte_bpe, mixing, projected_search, quality_rules, sharding, simhash, suffix_dedup, token_files, toxicity
+from driftmeter.llm import byte_bpe, mixing, page_diff, projected_search, quality_rules, sharding, simhash, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
 
 
+def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_diff.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,5 +72,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op4_projected_search, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op9_suffix_array_dedup, op10_toxicity, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op4_projected_search, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op8_page_diff, op9_suffix_array_dedup, op10_toxicity, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
