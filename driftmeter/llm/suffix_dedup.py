@@ -338,7 +338,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary) in place of the text.
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same or another text, is
@@ -353,6 +353,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     index = stored(docs.select(*rest, F.xxhash64(raw).alias("_u")), "index")
     texts = docs.select(F.xxhash64(raw).alias("u"), raw.alias("raw")).groupBy("u").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     texts = bucketed(texts, "u", "texts")  # joined twice by u, so laid out by u: its texts move once
-    runs = repeated_windows(texts, length, gram, block_bytes).groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    runs = repeated_windows(texts, length, gram, block_bytes, group_bytes).groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     cut = texts.join(runs.hint("shuffle_hash"), "u", "left").select("u", "raw", "copies", "runs").mapInArrow(_cut(length), "u long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return index.join(cut, index["_u"] == cut["u"]).drop("_u", "u")
+    cut = cut.withColumnRenamed("u", "_text")
+    return index.join(cut, index["_u"] == cut["_text"]).drop("_u", "_text")

@@ -44,7 +44,7 @@ ESCAPE = 15
 SEGMENT = 1 << 19
 #: Ids coded or decoded together, about.
 TOGETHER = 1 << 16
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 
 _COUNTS = np.array([n for n, _ in PACKINGS] + [0, 1], np.int64)
 
@@ -168,65 +168,79 @@ def read_segments(raw: bytes) -> Iterator[tuple[int | None, bool, np.ndarray]]:
             heads, parts, size = [], [], 0
 
 
+#: What stands between words while many are learnt: no tokenizer has this id.
+_BETWEEN = b"\xff\xff\xff\xff"
 _LATIN = re.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u024f]+").fullmatch
 
 
 class Words:
     """Ids of texts by a tokenizer that drops white space, and so gives a text what it gives its words one by one.
 
-    A word of Latin letters is normalized and parted by the tokenizer's own pattern; the ids of frequent words and parts are kept, as
-    bytes (32 bits each). New parts go to the tokenizer many at a time, with a part of known id between them.
+    Words of Latin letters are normalized and parted by the tokenizer's own pattern, many at a time. The ids of frequent
+    words and parts are kept, as bytes (32 bits each). New parts go to the tokenizer in one text; the last token of each
+    part is one that ends a word.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         rules = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
-        self.parts = regex.compile(rules[0]["pattern"]["Regex"]).findall
-        self.mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.parts = regex.compile(rules[0]["pattern"]["Regex"] + "| ").findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        split = [(t or b"").split() for t in texts]
         known = self.known
-        new = set().union(*split).difference(known)
-        self._learn(new)
+        new = list(set().union(*split).difference(known))
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
         if len(known) > CACHED_WORDS:
             for w in new:
                 del known[w]
         return out
 
-    def _learn(self, new: set[bytes]) -> None:
-        normal = self.tokenizer.normalizer.normalize_str
-        parted = []
-        for raw in new:
-            w = raw.decode()
-            # in Latin letters, this pattern means the same here as in the tokenizer; other words go to it whole
-            parted.append(self.parts(w.lower() if w.isascii() else normal(w)) if _LATIN(w) else [w])
+    def _learn(self, new: list[bytes]) -> None:
+        text = b" ".join(new).decode()
+        if not _LATIN(text.replace(" ", "")):
+            # in Latin letters, the pattern means the same here as in the tokenizer; other words go to it one by one
+            odd = [w for w in new if not _LATIN(w.decode())]
+            self.known.update((w, self._ids(w.decode()).tobytes()) for w in odd)
+            new = list(set(new).difference(odd))
+            text = b" ".join(new).decode()
+        if not new:
+            return
+        parts = self.parts(text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
         known = self.known_parts
-        some = set(chain.from_iterable(parted)).difference(known)
-        self._encode_parts(list(some))
-        self.known.update((w, b"".join(map(known.__getitem__, p))) for w, p in zip(new, parted, strict=True))
+        known[" "] = _BETWEEN
+        fresh = list(set(parts).difference(known))
+        self._encode_parts(fresh)
+        raw = b"".join(map(known.__getitem__, parts))
+        cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF) * 4
+        starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
+        self.known.update((w, raw[a:b]) for w, a, b in zip(new, starts, ends, strict=True))
         if len(known) > CACHED_WORDS:
-            for p in some:
+            for p in fresh:
                 del known[p]
 
-    def _encode_parts(self, some: list[str]) -> None:
-        odd = [p for p in some if "|" in p or len(self.mark) != 1]
-        plain = [p for p in some if "|" not in p and len(self.mark) == 1]
-        for p in odd:
-            self.known_parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), 5_000):
-            here = plain[at : at + 5_000]
-            (coded,) = self.tokenizer.encode_batch_fast([" | ".join(here)], add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            raw, lo = ids.tobytes(), 0
-            for p, hi in zip(here, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known_parts[p] = raw[lo:hi]
-                lo = hi + 4
+    def _ids(self, text: str) -> np.ndarray:
+        (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, "<u4")
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 10_000):
+            here = parts[at : at + 10_000]
+            ids = self._ids(" ".join(here))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(here):
+                raw = ids.tobytes()
+                self.known_parts.update((p, raw[a:b]) for p, a, b in zip(here, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+            else:
+                self.known_parts.update((p, self._ids(p).tobytes()) for p in here)
 
 
 _coders: dict[str, Words] = {}
@@ -241,7 +255,7 @@ def _encode(path: str, end: int):
         for batch in batches:
             some: list[tuple[int | None, np.ndarray]] = []
             size = 0
-            for key, ids in zip(batch["id"].to_pylist(), _coders[path].encode(batch["text"].to_pylist()), strict=True):
+            for key, ids in zip(batch["id"].to_pylist(), _coders[path].encode(batch["raw"].to_pylist()), strict=True):
                 some.append((key, np.concatenate([ids, last])))
                 size += len(ids)
                 if size >= TOGETHER:
@@ -262,7 +276,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, text: str
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
-    coded = dealt.mapInArrow(_encode(tokenizer, end), "value binary")
+    coded = dealt.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_encode(tokenizer, end), "value binary")
     coded.select(F.col("value").cast("string")).write.text(path)  # a cast keeps the bytes; the sink writes them as they are
 
 
