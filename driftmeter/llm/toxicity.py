@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from driftmeter.llm.common import ship
 
-MAX_LABELLED = 5000
+MAX_LABELLED = 3000
 LANDMARKS = 96
 SPAN = 5
 DECAY = 0.7
@@ -155,15 +155,21 @@ def _newton(x: np.ndarray, gradient_hessian, start: np.ndarray, steps: int = 40)
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Linear machine, squared hinge loss, L2: Newton steps on the rows inside the margin. The last weight is the offset."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Linear machine, squared hinge loss, L2: Newton steps on the rows inside the margin. The last column of x is of
+    ones, its weight the offset; rows of weight 0 are left out."""
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
 
     def both(w):
-        inside = y * (x @ w) < 1
-        xi, wi = x[inside], weight[inside, None]
-        return ridge @ w + 2 * cost * (xi * wi).T @ (xi @ w - y[inside]), ridge + 2 * cost * (xi * wi).T @ xi
+        gradient, hessian = ridge @ w, ridge.copy()
+        for at in range(0, len(x), 8192):
+            part = x[at : at + 8192]
+            inside = (weight[at : at + 8192] > 0) & (y[at : at + 8192] * (part @ w) < 1)
+            xi = part[inside].astype(np.float64)
+            scaled = 2 * cost * (xi * weight[at : at + 8192][inside, None]).T
+            gradient += scaled @ (xi @ w - y[at : at + 8192][inside])
+            hessian += scaled @ xi
+        return gradient, hessian
 
     return _newton(x, both, np.zeros(x.shape[1]))
 
@@ -195,19 +201,21 @@ def _cosines(ids: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndar
     return total
 
 
-def _landmarks(held: list[set[str]], toxic: np.ndarray, count: int) -> tuple[list[str], dict[str, float]]:
-    """Landmarks and the log odds of each word. held: the words of each text."""
+def _landmarks(held: list[set[int]], distinct: list[str], toxic: np.ndarray, count: int) -> tuple[list[str], dict[int, float]]:
+    """Landmarks, and the log odds of words by number. held: the words of each text; distinct: words by number."""
     bad, good = Counter(), Counter()
     for s, t in zip(held, toxic, strict=True):
         (bad if t else good).update(s)
     n, m = int(toxic.sum()), int((~toxic).sum())
-    odds = {w: float(np.log((k + 0.5) / (n + 1)) - np.log((good[w] + 0.5) / (m + 1))) for w, k in bad.items() if k > 1 and 2 < len(w) <= WORD}
-    ranked = sorted(odds, key=lambda w: (-bad[w] * odds[w], w))
-    usual = sorted((w for w in good if 2 < len(w) <= WORD), key=lambda w: (-good[w], w))
+    fit = [2 < len(w) <= WORD for w in distinct]
+    odds = {w: float(np.log((k + 0.5) / (n + 1)) - np.log((good[w] + 0.5) / (m + 1))) for w, k in bad.items() if k > 1 and fit[w]}
+    ranked = sorted(odds, key=lambda w: (-bad[w] * odds[w], distinct[w]))
+    usual = sorted((w for w in good if fit[w]), key=lambda w: (-good[w], distinct[w]))
     some = ranked[:CANDIDATES]
-    chosen: list[str] = []
+    chosen: list[int] = []
     if some:
-        alike = _cosines(*features(some), _table(some)) > ALIKE
+        spelt = [distinct[w] for w in some]
+        alike = _cosines(*features(spelt), _table(spelt)) > ALIKE
         where = {w: k for k, w in enumerate(some)}
         holds = np.zeros((n, len(some)), bool)
         for d, s in enumerate(s for s, t in zip(held, toxic, strict=True) if t):
@@ -219,15 +227,18 @@ def _landmarks(held: list[set[str]], toxic: np.ndarray, count: int) -> tuple[lis
             chosen.append(some[k])
             gain[k] = -1
             left[holds[:, alike[k]].any(axis=1)] *= 0.5
-    return chosen + [w for w in usual if w not in chosen][: count - len(chosen)], odds
+    chosen += [w for w in usual if w not in chosen][: count - len(chosen)]
+    return [distinct[w] for w in chosen], odds
 
 
 def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Machine:
     """A machine from labelled texts; without both labels, one that gives the share of toxic texts."""
     prior = float(toxic.mean()) if len(toxic) else 0.0
-    parts = [[ws for s in sentences(t) if (ws := [w for w in words(s) if w])] for t in texts]
+    number: dict[str, int] = {}
+    parts = [[[number.setdefault(w, len(number)) for w in ws] for s in sentences(t) if (ws := [w for w in words(s) if w])] for t in texts]
+    distinct = list(number)
     held = [{w for s in p for w in s} for p in parts]
-    chosen, odds = _landmarks(held, toxic, landmarks) if 0 < prior < 1 else ([], {})
+    chosen, odds = _landmarks(held, distinct, toxic, landmarks) if 0 < prior < 1 else ([], {})
     nothing = Machine(np.zeros((1 << BITS, 1), np.float32), np.zeros(1), 0.0, np.zeros(0), prior)
     if not chosen:
         return nothing
@@ -235,25 +246,23 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
     square = machine.kernel(chosen).astype(np.float64)
     root, axes = np.linalg.eigh((square + square.T) / 2)
     white = axes @ np.diag(1 / np.sqrt(np.maximum(root, 1e-3))) @ axes.T
-    distinct = sorted(set().union(*held))
-    number = {w: k for k, w in enumerate(distinct)}
     values = machine.kernel(distinct)
     flat = [ws for p in parts for ws in p]
     of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    x, bad = np.zeros((len(flat), len(chosen))), toxic[of]
+    x, bad = np.ones((len(flat), len(chosen) + 1), np.float32), toxic[of]
     for lo in range(0, len(flat), 4096):
         some = flat[lo : lo + 4096]
         at = np.cumsum([0, *map(len, some)])[:-1]
-        x[lo : lo + 4096] = np.add.reduceat(values[[number[w] for ws in some for w in ws]], at, axis=0) @ white
+        x[lo : lo + 4096, :-1] = np.add.reduceat(values[list(itertools.chain.from_iterable(some))], at, axis=0) @ white
     look = np.array([max((odds.get(w, 0.0) for w in ws), default=0.0) for ws in flat])
     for _ in range(3):
         best = np.full(len(parts), -np.inf)
         np.maximum.at(best, of, look)
         positive = bad & ((look >= np.minimum(best[of], 2.0)) if _ == 0 else (look > 0) | (look == best[of]))
         use = positive | ~bad
-        weight = np.where(positive, (use.sum() / max(positive.sum(), 1)) ** 0.5, 1.0)
-        w = _hinge(x[use], np.where(positive[use], 1.0, -1.0), weight[use], 1.0)
-        look = x @ w[:-1] + w[-1]
+        weight = np.where(positive, (use.sum() / max(positive.sum(), 1)) ** 0.5, use)
+        w = _hinge(x, np.where(positive, 1.0, -1.0), weight, 1.0)
+        look = x @ w
     machine.beta, machine.offset = white @ w[:-1], float(w[-1])
     found: list[list[tuple[float, int]]] = [[] for _ in parts]
     for o, v, ws in zip(of.tolist(), look.tolist(), flat, strict=True):
