@@ -40,6 +40,8 @@ CANDIDATES = 600
 ALIKE = 0.7
 #: Features of a kernel are told apart by a hash of this many bits.
 BITS = 16
+#: Words of a sentence at most: sums over longer ones would grow with their length.
+SENTENCE = 16
 #: Characters of a word that are compared; longer words are compared in pieces of this length, at each half.
 WORD = 16
 CACHED_WORDS = 600_000
@@ -47,26 +49,28 @@ CACHED_WORDS = 600_000
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHTS = np.array([DECAY ** (j + 1 - 3) for _, j in _GAPS], np.float32)
 _LETTERS = re.compile(r"[\W\d_]+")
-#: Three single letters in a row, as chunks of their own.
-_RUN = re.compile(r"(?:(?<!\S)[^\w\s]*[^\W\d_][^\w\s]*(?:\s|$)){3}")
+#: Three single letters or more in a row, as chunks of their own.
+_RUN = re.compile(r"(?<!\S)[^\W\d_](?:[ \t][^\W\d_]){2,}(?!\S)")
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def words(sentence: str) -> list[str]:
-    """Chunks between white space, lowered, letters only; runs of three single letters or more are one word."""
-    return _joined([_LETTERS.sub("", w) for w in sentence.lower().split()])
-
-
-def _joined(found: list[str]) -> list[str]:
-    out: list[str] = []
-    for single, run in itertools.groupby(found, lambda w: len(w) == 1):
-        run = list(run)
-        out += ["".join(run)] if single and len(run) > 2 else run
+def sentences(text: str | None) -> list[list[str]]:
+    """Chunks between white space, lowered, of each sentence; long sentences are cut after SENTENCE chunks. Runs of three
+    single letters or more are one chunk."""
+    out = []
+    text = _RUN.sub(lambda m: m[0].replace(" ", "").replace("\t", ""), text.lower()) if text else ""
+    for s in _ENDS.split(text):
+        chunks = s.split()
+        if len(chunks) <= SENTENCE:
+            out += [chunks] if chunks else []
+        else:
+            out += [chunks[i : i + SENTENCE] for i in range(0, len(chunks), SENTENCE)]
     return out
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in _ENDS.split(text) if s] if text else []
+def words(chunks: list[str]) -> list[str]:
+    """Letters only; chunks without letters are left out."""
+    return [w for c in chunks if (w := _LETTERS.sub("", c))]
 
 
 def features(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +239,7 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
     """A machine from labelled texts; without both labels, one that gives the share of toxic texts."""
     prior = float(toxic.mean()) if len(toxic) else 0.0
     number: dict[str, int] = {}
-    parts = [[[number.setdefault(w, len(number)) for w in ws] for s in sentences(t) if (ws := [w for w in words(s) if w])] for t in texts]
+    parts = [[[number.setdefault(w, len(number)) for w in ws] for s in sentences(t) if (ws := words(s))] for t in texts]
     distinct = list(number)
     held = [{w for s in p for w in s} for p in parts]
     chosen, odds = _landmarks(held, distinct, toxic, landmarks) if 0 < prior < 1 else ([], {})
@@ -292,7 +296,7 @@ class _Scorer:
         self.machine, self.known = machine, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        parts = [[s.lower().split() for s in sentences(t)] for t in texts]
+        parts = [sentences(t) for t in texts]
         here = set(itertools.chain.from_iterable(itertools.chain.from_iterable(parts)))
         new = [w for w in here if w not in self.known]
         letters = [_LETTERS.sub("", w) for w in new]
@@ -308,10 +312,7 @@ class _Scorer:
             found = []
             for s in p:
                 got = [fresh[w] for w in s]
-                if len(" ".join(s)) < 5 * len(s) and _RUN.search(" ".join(s)):
-                    got = self.machine.values([w for w in _joined([_LETTERS.sub("", w) for w in s]) if w])
-                if got:
-                    found.append((sum(got) + offset, len(got)))
+                found.append((sum(got) + offset, len(got)))
             out.append(self.machine.measures(found))
         return self.machine.score(out)
 
