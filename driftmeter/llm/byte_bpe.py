@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from driftmeter.llm.common import ship
 
 #: Pieces and pairs kept at most by a Python worker; more are computed again.
-CACHED_PIECES = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 300_000
+CACHED_PAIRS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -142,28 +142,34 @@ class Prefixes:
         return out[::-1]
 
 
+class _Pieces(dict):
+    """Ids of pieces in decimal, joined by commas; what is asked for first is encoded, and kept while there is room."""
+
+    def __init__(self, ranks: Ranks):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> str:
+        raw = piece.encode()
+        whole = self.ranks.ranks.get(raw)  # a match that is a token is that token, whatever the merges would do
+        ids = str(whole) if whole is not None else ",".join(map(str, Prefixes(self.ranks, raw).ids()))
+        if len(self) < CACHED_PIECES:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids and back; the pattern's matches are encoded each for itself."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = Ranks(ranks), regex.compile(pattern).findall
-        self._pieces: dict[str, tuple[int, str]] = {}
+        self._pieces = _Pieces(self.ranks)
         self._bytes = {str(rank): token for token, rank in ranks.items()}
 
-    def piece(self, piece: str) -> tuple[int, str]:
-        """Number of ids and the ids in decimal, joined by commas."""
-        raw = piece.encode()
-        whole = self.ranks.ranks.get(raw)  # a match that is a token is that token, whatever the merges would do
-        ids = [whole] if whole is not None else Prefixes(self.ranks, raw).ids()
-        known = len(ids), ",".join(map(str, ids))
-        if len(self._pieces) < CACHED_PIECES:
-            self._pieces[piece] = known
-        return known
-
     def encode(self, text: str) -> tuple[int, str]:
-        known, piece = self._pieces.get, self.piece
-        found = [known(p) or piece(p) for p in self.split(text)]
-        return sum([n for n, _ in found]), ",".join([ids for _, ids in found])
+        """Number of ids, and the ids in decimal, joined by commas."""
+        ids = ",".join(map(self._pieces.__getitem__, self.split(text)))
+        return ids.count(",") + 1 if ids else 0, ids
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids.split(","))) if ids else b""
