@@ -206,7 +206,7 @@ def observations(baseline: DataFrame, current: DataFrame, pairs: DataFrame, tren
 
 
 def delta_contributors(
-    files: DataFrame, numbered: DataFrame, top: int | None = fixed.TOP_FILES, **limits
+    files: DataFrame, numbered: DataFrame, top: int | None = fixed.TOP_FILES
 ) -> DataFrame:
     """Files whose badness rose most from one commit to the next, for every commit.
 
@@ -215,7 +215,7 @@ def delta_contributors(
     ``numbered`` holds (repo, commit_hash, commit_seq).
     """
     seq = numbered.select(*COMMIT, "commit_seq")
-    scored = scoring.badness_by_file(files, commits=seq, **limits)
+    scored = scoring.badness_by_file(files, commits=seq)
     placed = scored.select(*COMMIT, "path", "commit_seq", "badness")
     before = placed.select(
         "repo", "path", (F.col("commit_seq") + 1).alias("commit_seq"), F.col("badness").alias("old_badness")

@@ -71,7 +71,7 @@ def history_join(metrics: DataFrame, commits: DataFrame) -> DataFrame:
     joined = keyed(metrics, ["repo"]).join(known, ["repo", "commit_hash"], "left")
     found = joined.groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"), F.count("ts").alias("_known"))
     beginning = F.lit("0001-01-01 00:00:00").cast(commits.schema["ts"].dataType)
-    rows = attach(joined, found, ["repo"], "_rows", ["commit_hash"])
+    rows = attach(joined, found, ["repo"])
     return rows.where(F.col("ts").isNotNull() | (F.col("_known") == 0)).select(
         *metrics.columns,
         F.coalesce(F.col("ts"), beginning).alias("ts"),
@@ -375,7 +375,7 @@ def percentile_position(history: DataFrame, current: DataFrame | None = None, mi
         "entropy_max",
     ).where(F.col("history_count") >= min_commits)
     wanted = points.where(F.col("_stored") == (1 if current is None else 0)).drop("_stored")
-    rows = attach(wanted, ranked, ["repo", "entropy"], "_rows", ["commit_hash"]).drop("_rows")
+    rows = attach(wanted, ranked, ["repo", "entropy"]).drop("_rows")
     label = measures.band_below(F.col("percentile"), fixed.POSITION_LABELS, inclusive=True)
     return rows.withColumn("position", label)
 

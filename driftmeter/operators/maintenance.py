@@ -16,8 +16,15 @@ def new_commits(commits: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(rows: DataFrame, stored: DataFrame, keys: Sequence[str] = ("repo", "commit_hash", "path")) -> DataFrame:
-    """The rows to append: one per key, and none whose key is stored."""
-    return rows.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+    """The rows to append: one per key, the smallest in the order of its columns, and none whose key is stored."""
+    others = [c for c in rows.columns if c not in keys]
+    if others:
+        rows = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(
+            *[F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in rows.columns]
+        )
+    else:
+        rows = rows.distinct()
+    return rows.join(stored.select(*keys), list(keys), "left_anti")
 
 
 def register_repos(found: DataFrame, stored: DataFrame | None = None) -> DataFrame:

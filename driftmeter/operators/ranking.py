@@ -70,28 +70,28 @@ def top_scan_chart(files: DataFrame, top: int = fixed.TOP_FILES) -> DataFrame:
     )
 
 
-def top_refactor(files: DataFrame, focus: str = "overall", top: int = fixed.TOP_FILES, **limits) -> DataFrame:
+def top_refactor(files: DataFrame, focus: str = "overall", top: int = fixed.TOP_FILES) -> DataFrame:
     """Refactoring candidates with their score relative to the best one."""
-    ranked = top_files(scoring.refactor_scores(files, focus, **limits), F.col("score"), top)
+    ranked = top_files(scoring.refactor_scores(files, focus), F.col("score"), top)
     best = F.max("score").over(Window.partitionBy(*COMMIT))
     relative = F.col("score") / F.when(best == 0, F.lit(1.0)).otherwise(best)
     return ranked.withColumn("relative_score", relative)
 
 
-def top_badness(files: DataFrame, top: int = fixed.TOP_FILES, **limits) -> DataFrame:
-    scored = scoring.badness_by_file(files, **limits)
+def top_badness(files: DataFrame, top: int = fixed.TOP_FILES) -> DataFrame:
+    scored = scoring.badness_by_file(files)
     return top_files(scored.where(F.col("badness") > 0), F.col("badness"), top)
 
 
-def top_diffusion(files: DataFrame, top: int = fixed.TOP_FILES, **limits) -> DataFrame:
-    spread = scoring.diffusion_contributions(files, **limits)
+def top_diffusion(files: DataFrame, top: int = fixed.TOP_FILES) -> DataFrame:
+    spread = scoring.diffusion_contributions(files)
     return top_files(spread.where(F.col("diffusion") > 0), F.col("diffusion"), top)
 
 
-def file_metrics_table(files: DataFrame, commit_hash: str | None = None, **limits) -> DataFrame:
+def file_metrics_table(files: DataFrame, commit_hash: str | None = None) -> DataFrame:
     """All metrics of one commit (or of every commit), worst file first: one range sort."""
     chosen = files if commit_hash is None else files.where(F.col("commit_hash") == commit_hash)
-    return scoring.badness_by_file(chosen, **limits).orderBy(*COMMIT, F.desc("badness"), "path")
+    return scoring.badness_by_file(chosen).orderBy(*COMMIT, F.desc("badness"), "path")
 
 
 def health_gauges(history: DataFrame, stats: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
 from .history import ORDER, add_chunk
-from .skew import attach, keyed, with_carry
+from .skew import keyed, with_carry
 
 
 def drop_ignored_directories(files: DataFrame, names: Sequence[str] = fixed.IGNORED_DIRECTORIES) -> DataFrame:
@@ -27,10 +27,8 @@ def drop_excluded_by_repo(files: DataFrame, pattern_regexes: DataFrame) -> DataF
     ``pattern_regexes`` holds (repo, regex).  Repositories without one keep all files.
     """
     files = keyed(files, ["repo"])
-    counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"))
-    stats = counts.join(pattern_regexes.select("repo", "regex"), "repo", "left")
     excluded = F.coalesce(F.expr("path rlike regex"), F.lit(False))
-    return attach(files, stats, ["repo"], "_rows", ["path"]).where(~excluded).drop("regex", "_rows")
+    return files.join(pattern_regexes.select("repo", "regex"), "repo", "left").where(~excluded).select(*files.columns)
 
 
 def keep_included(files: DataFrame, patterns: Sequence[str] | None) -> DataFrame:

@@ -67,33 +67,33 @@ def focus_score(focus: str = "overall") -> str:
     return f"({' + '.join(parts)}) / {len(parts)}d"
 
 
-def _with_ranges(files: DataFrame, keys: Sequence[str], limits: dict, keep_slice: bool = False) -> DataFrame:
+def _with_ranges(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     known = skew.keyed(files, keys)
-    return skew.attach(known, feature_ranges(known, keys), keys, "_files", ["path"], keep_slice=keep_slice, **limits)
+    return skew.attach(known, feature_ranges(known, keys), keys)
 
 
 def badness_by_file(
-    files: DataFrame, keys: Sequence[str] = COMMIT, commits: DataFrame | None = None, **limits
+    files: DataFrame, keys: Sequence[str] = COMMIT, commits: DataFrame | None = None
 ) -> DataFrame:
     """Add ``badness``, and the columns of ``commits`` (one row per commit; others drop out) if given.
 
     Commit columns travel with the ranges of their commit, at no further join of files.
     """
     if commits is None:
-        return _with_ranges(files, keys, limits).selectExpr(*files.columns, f"{_BADNESS} as badness")
+        return _with_ranges(files, keys).selectExpr(*files.columns, f"{_BADNESS} as badness")
     known = skew.keyed(files, keys)
     stats = feature_ranges(known, keys).join(commits, list(keys))
-    rows = skew.attach(known, stats, keys, "_files", ["path"], **limits)
+    rows = skew.attach(known, stats, keys)
     extra = [c for c in commits.columns if c not in keys]
     return rows.selectExpr(*files.columns, *extra, f"{_BADNESS} as badness")
 
 
 def refactor_scores(
-    files: DataFrame, focus: str | dict[str, str] = "overall", keys: Sequence[str] = COMMIT, **limits
+    files: DataFrame, focus: str | dict[str, str] = "overall", keys: Sequence[str] = COMMIT
 ) -> DataFrame:
     """Add ``score`` for one focus list, or one column per entry of a {column: focus} mapping."""
     wanted = {"score": focus} if isinstance(focus, str) else focus
-    return _with_ranges(files, keys, limits).selectExpr(
+    return _with_ranges(files, keys).selectExpr(
         *files.columns, *[f"{focus_score(words)} as {name}" for name, words in wanted.items()]
     )
 
@@ -121,47 +121,47 @@ def entropy_from_scored(scored: DataFrame, keys: Sequence[str] = COMMIT) -> Data
 
 
 def entropy_by_commit(
-    files: DataFrame, keys: Sequence[str] = COMMIT, commits: DataFrame | None = None, **limits
+    files: DataFrame, keys: Sequence[str] = COMMIT, commits: DataFrame | None = None
 ) -> DataFrame:
     """(keys, total_files, total_sloc, entropy).  With ``commits``, empty commits appear with zeros."""
-    scores = entropy_from_scored(badness_by_file(files, keys, **limits), keys)
+    scores = entropy_from_scored(badness_by_file(files, keys), keys)
     if commits is None:
         return scores
     listed = commits.select(*keys).join(scores, list(keys), "left")
     return listed.fillna(0, ["total_files", "total_sloc"]).fillna(0.0, ["entropy"])
 
 
-def entropy_by_commit_kind(files: DataFrame, **limits) -> DataFrame:
+def entropy_by_commit_kind(files: DataFrame) -> DataFrame:
     """Every kind scored on its own files only: ranges are taken inside the kind."""
-    return entropy_by_commit(files, (*COMMIT, "kind"), **limits)
+    return entropy_by_commit(files, (*COMMIT, "kind"))
 
 
-def _second_pass(files: DataFrame, keys: Sequence[str], limits: dict, *aggregates: Column) -> DataFrame:
+def _second_pass(files: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Scored files with statistics of their commit's scores; reuses the partitioning of the first pass."""
-    ranged = _with_ranges(files, keys, limits, keep_slice=True)
-    scored = ranged.selectExpr(*files.columns, "_slice", f"{_BADNESS} as badness")
+    ranged = _with_ranges(files, keys)
+    scored = ranged.selectExpr(*files.columns, f"{_BADNESS} as badness")
     # the statistics look at the path only so that both readers of the shuffled rows want
     # the same columns of them; else Spark would shuffle the rows once for each reader
     touched = F.expr("bit_xor(xxhash64(path)) as _paths")
     stats = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"), *aggregates, touched)
     stats = stats.where("_paths is not null").drop("_paths")
-    return skew.attach(scored, stats, keys, "_files", ["path"], **limits)
+    return skew.attach(scored, stats, keys)
 
 
-def diffusion_contributions(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
+def diffusion_contributions(files: DataFrame, keys: Sequence[str] = COMMIT) -> DataFrame:
     """Add ``badness`` and ``diffusion`` = -p log2 p over active files; they sum to H."""
-    rows = _second_pass(files, keys, limits, F.expr(f"sum(if({_ACTIVE}, badness, null)) as _t"))
+    rows = _second_pass(files, keys, F.expr(f"sum(if({_ACTIVE}, badness, null)) as _t"))
     spread = f"if({_ACTIVE} and _t > {fixed.EPSILON}d, -(badness / _t) * log2(badness / _t), 0d) as diffusion"
     return rows.selectExpr(*files.columns, "badness", spread)
 
 
-def heat_rank(files: DataFrame, keys: Sequence[str] = COMMIT, **limits) -> DataFrame:
+def heat_rank(files: DataFrame, keys: Sequence[str] = COMMIT) -> DataFrame:
     """Files hottest first with heat relative to the hottest and the length of a heat bar.
 
     The order is one range sort over all commits on a unique key, so a commit of
     any size spreads over many tasks.
     """
-    rows = _second_pass(files, keys, limits, F.expr("max(badness) as _hottest"))
+    rows = _second_pass(files, keys, F.expr("max(badness) as _hottest"))
     heat = "badness / if(_hottest = 0d, 1d, _hottest)"
     bar = f"cast(bround({heat} * {fixed.HEAT_BAR_STEPS}) as int) as bar"
     return rows.selectExpr(*files.columns, "badness", f"{heat} as heat", bar).orderBy(

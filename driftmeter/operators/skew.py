@@ -1,9 +1,11 @@
 """Two building blocks that keep hot keys from landing in one task.
 
-``attach``: joining many rows with one statistics row per key.  The statistics
-of the few keys that own most rows are broadcast; their rows skip the keyed
-shuffle and spread evenly.  All other keys join as usual.  ``attach_many`` does
-the same for several partners per key, by slicing.
+``attach``: joining many rows with the statistics of their keys.  It is a plain
+equality join, whatever the sizes: statistics come out of an aggregation with
+map-side combine, and the adaptive planner splits the rows of a key that holds
+too many.  Where a later step groups by the same keys, splitting costs a shuffle
+of partial sums, which Spark accepts with
+``spark.sql.adaptive.forceOptimizeSkewedJoin``; README names the setting.
 
 ``with_carry``: ordered per-group computations (numbering, previous row,
 running totals).  A group's order is cut into chunks; what precedes a chunk is
@@ -18,93 +20,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it has more rows than this ...
-HOT_ROWS = 1_000_000
-# ... and is among the so many largest.  The broadcast is bounded by this number
-# of statistics rows whatever the data; a key beyond it holds less than one
-# MAX_HOT_KEYS-th of all rows, which an ordinary shuffle takes.
-MAX_HOT_KEYS = 2000
-_SPREAD = 1 << 16
 
-
-def attach(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    rows_column: str,
-    spread: Sequence[str],
-    hot_rows: int | None = None,
-    max_hot_keys: int | None = None,
-    keep_slice: bool = False,
-) -> DataFrame:
-    """Inner join of ``rows`` with per-key ``stats``, safe for keys that hold most of the rows.
-
-    ``stats`` has exactly one row per key (``attach_many`` takes more).  ``rows_column`` of ``stats`` counts the rows of a key; ``spread`` names
-    columns that tell the rows of one key apart.  The hot list is cut out of the
-    same aggregate as the statistics, so Spark computes that aggregate once.
-
-    ``keep_slice`` leaves the column ``_slice`` in the result.  A second call on
-    such rows, with statistics that count the same rows, finds the same hot keys
-    and reuses the partitioning of the first.
-    """
-    keys = list(keys)
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``stats`` on ``keys``: rows' columns first, then those of stats."""
     values = [c for c in stats.columns if c not in keys]
-    kept = [c for c in rows.columns if c != "_slice"] + (["_slice"] if keep_slice else [])
-    hot = (
-        stats.where(F.col(rows_column) > (hot_rows or HOT_ROWS))
-        .orderBy(F.desc(rows_column), *keys)
-        .limit(max_hot_keys or MAX_HOT_KEYS)
-        .selectExpr(*keys, *[f"`{c}` as `_hot_{c}`" for c in values])
-    )
-    flagged = rows.join(F.broadcast(hot), keys, "left")
-    if "_slice" not in rows.columns:
-        # slice 0 meets the statistics; hot rows go to the others and meet nothing there
-        names = ", ".join(f"`{c}`" for c in spread)
-        flagged = flagged.selectExpr(
-            "*", f"if(`_hot_{rows_column}` is null, 0, 1 + cast(pmod(xxhash64({names}), {_SPREAD}) as int)) as _slice"
-        )
-    # always 0, but not a constant: the optimizer would fold that and shuffle by the bare keys again
-    cold = stats.selectExpr(
-        *keys, f"cast(least(`{rows_column}`, 0) as int) as _slice", *[f"`{c}` as `_cold_{c}`" for c in values]
-    )
-    joined = flagged.join(cold, [*keys, "_slice"], "left")
-    return joined.where(f"`_hot_{rows_column}` is not null or `_cold_{rows_column}` is not null").selectExpr(
-        *[f"`{c}`" for c in kept], *[f"coalesce(`_hot_{c}`, `_cold_{c}`) as `{c}`" for c in values]
-    )
-
-
-def attach_many(
-    rows: DataFrame,
-    counts: DataFrame,
-    many: DataFrame,
-    keys: Sequence[str],
-    rows_column: str,
-    spread: Sequence[str],
-    hot_rows: int | None = None,
-    max_hot_keys: int | None = None,
-) -> DataFrame:
-    """Inner join of ``rows`` with ``many`` rows per key, safe for keys that hold most of ``rows``.
-
-    ``counts`` has one row per key.  A hot key's rows are cut into slices of
-    about ``hot_rows``, and its partners are copied once per slice.
-    """
-    keys, limit = list(keys), hot_rows or HOT_ROWS
-    cut = f"cast(ceil(`{rows_column}` / {limit}) as int) as _cut"
-    hot = (
-        counts.where(F.col(rows_column) > limit)
-        .orderBy(F.desc(rows_column), *keys)
-        .limit(max_hot_keys or MAX_HOT_KEYS)
-        .selectExpr(*keys, cut)
-    )
-    names = ", ".join(f"`{c}`" for c in spread)
-    sliced = rows.join(F.broadcast(hot), keys, "left").selectExpr(
-        *[f"`{c}`" for c in rows.columns],
-        f"if(_cut is null, 0, cast(pmod(xxhash64({names}), _cut) as int)) as _slice",
-    )
-    copies = many.join(counts.selectExpr(*keys, cut), keys).selectExpr(
-        *[f"`{c}`" for c in many.columns], "explode(sequence(0, _cut - 1)) as _slice"
-    )
-    return sliced.join(copies, [*keys, "_slice"]).drop("_slice")
+    return rows.join(stats, list(keys)).select(*rows.columns, *values)
 
 
 def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

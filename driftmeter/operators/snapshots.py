@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .history import number_commits
 from .rollup import COMMIT
-from .skew import attach, attach_many, keyed, with_carry
+from .skew import attach, keyed, with_carry
 
 # commits per block: a block's hashes travel as one array, so this bounds the array
 BLOCK = 1024
@@ -23,9 +23,7 @@ def file_versions(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """
     known = number_commits(commits.select("repo", "commit_hash", "ts"))
     logged = keyed(changes, COMMIT)
-    touched = logged.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_touched"))
-    numbers = known.select(*COMMIT, "commit_seq", "commit_count")
-    placed = attach(logged, touched.join(numbers, list(COMMIT)), COMMIT, "_touched", ["path"])
+    placed = attach(logged, known.select(*COMMIT, "commit_seq", "commit_count"), COMMIT)
     # a file changed in most commits is cut into blocks; each hands its first change to the one before
     blocked = placed.withColumn("_block", -F.floor(F.col("commit_seq") / BLOCK))
     rows = with_carry(
@@ -61,9 +59,7 @@ def unfold_versions(versions: DataFrame, commits: DataFrame) -> DataFrame:
         "_block", F.explode(F.sequence(F.floor((first - 1) / BLOCK), F.floor((last - 1) / BLOCK)))
     )
     keys = ["repo", "_block"]
-    counts = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pieces"))
-    # a block's array weighs some 60 kB, hence fewer hot keys in the broadcast
-    joined = attach(pieces, counts.join(hashes, keys), keys, "_pieces", ["path"], max_hot_keys=200)
+    joined = attach(pieces, hashes, keys)
     start = F.greatest(first, F.col("_block") * BLOCK + 1)
     stop = F.least(last, (F.col("_block") + 1) * BLOCK)
     offset = (start - F.col("_block") * BLOCK).cast("int")
@@ -83,15 +79,14 @@ def changed_files(manifests: DataFrame, commits: DataFrame) -> DataFrame:
     """
     manifests = keyed(manifests, COMMIT)
     parents = commits.select(*COMMIT, F.get("parents", F.lit(0)).alias("_parent"))
-    counts = manifests.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files"))
     children = parents.where(F.col("_parent").isNotNull()).select(
         "repo", F.col("_parent").alias("commit_hash"), F.col("commit_hash").alias("_child")
     )
     # a commit with several children hands its files to each of them
-    inherited = attach_many(manifests, counts, children, COMMIT, "_files", ["path"]).select(
+    inherited = attach(manifests, children, COMMIT).select(
         "repo", F.col("_child").alias("commit_hash"), "path", F.col("content_hash").alias("_old")
     )
-    own = attach(manifests, counts.join(parents, list(COMMIT)), COMMIT, "_files", ["path"])
+    own = attach(manifests, parents, COMMIT)
     later = own.where(F.col("_parent").isNotNull()).select(*COMMIT, "path", F.col("content_hash").alias("_new"))
     differ = later.join(inherited, [*COMMIT, "path"], "full_outer").where(
         ~F.col("_old").eqNullSafe(F.col("_new"))

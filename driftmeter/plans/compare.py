@@ -11,8 +11,13 @@ from ..sources import snapshot_json
 
 
 def summary_at(past: DataFrame, commit_hash: str) -> DataFrame:
-    """(repo, entropy, files, sloc, commits) as of a commit that names a point in time in each repository."""
-    until = past.where(F.col("commit_hash") <= commit_hash)
+    """(repo, entropy, files, sloc, commits) as of a commit, up to its place in the time order of its repository.
+
+    Repositories without that commit have no row.
+    """
+    place = F.struct(*ORDER)
+    named = past.where(F.col("commit_hash") == commit_hash).groupBy("repo").agg(F.min(place).alias("_until"))
+    until = past.join(named, "repo").where(place <= F.col("_until"))
     newest = F.max_by(F.struct("entropy", "total_files", "total_sloc"), F.struct(*ORDER))
     rows = until.groupBy("repo").agg(newest.alias("_head"), F.count(F.lit(1)).alias("commits"))
     return rows.select(

@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators import maintenance, ranking, rollup, scope, scoring, skew
+from ..operators import maintenance, ranking, rollup, scope, scoring
 from ..sources import source_tree
 from ..sources.tables import MetricsStore, stored_copy
 
 
-# commits whose list may be broadcast: about 10 MB of names and hashes
-FEW_COMMITS = 100_000
-
-
 def scan_history(
     store: MetricsStore,
     commits: DataFrame,
@@ -35,17 +30,9 @@ def scan_history(
     if remotes is not None:
         store.register(maintenance.name_repos(remotes))
     fresh = stored_copy(maintenance.new_commits(commits, store.read("commits")))
-    wanted = fresh.select(*rollup.COMMIT)
-    if fresh.limit(FEW_COMMITS + 1).count() <= FEW_COMMITS:
-        # a few new commits: their list goes to the texts, and no text is shuffled
-        texts = source_files.join(F.broadcast(wanted), list(rollup.COMMIT), "left_semi")
-        files = stored_copy(source_tree.scan_commits(texts, functions, exclude, utility))
-    else:
-        # many: read every text where it lies, then select among the narrow counts
-        measured = stored_copy(source_tree.scan_commits(source_files, functions, exclude, utility))
-        counts = measured.groupBy(*rollup.COMMIT).agg(F.count(F.lit(1)).alias("_files"))
-        known = counts.join(wanted, list(rollup.COMMIT))
-        files = skew.attach(measured, known, rollup.COMMIT, "_files", ["path"]).drop("_files")
+    # the new commits are stored, so their true size is known: the planner chooses how they meet the texts
+    texts = source_files.join(fresh.select(*rollup.COMMIT), list(rollup.COMMIT), "left_semi")
+    files = stored_copy(source_tree.scan_commits(texts, functions, exclude, utility))
     store.add_scan(fresh, files, scoring.entropy_by_commit(files, commits=fresh))
 
 

@@ -40,6 +40,8 @@ def read_patterns(spark: SparkSession, path: str) -> list[str]:
 
     try:
         rows = spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return [row.pattern for row in pattern_rows(rows).toLocalIterator()]

@@ -140,7 +140,7 @@ def snapshot_lines(history: DataFrame, latest_files: DataFrame, generated: Colum
     # The scores are read twice, by it and by the lines, hence stored.
     scored = stored_copy(scoring.badness_by_file(latest_files))
     last = scored.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("_files"), F.max("path").alias("_last"))
-    marked = skew.attach(scored, last, COMMIT, "_files", ["path"])
+    marked = skew.attach(scored, last, COMMIT)
     fields = [F.col(column).alias(name) for name, column in _FILE_COLUMNS.items()]
     file_line = F.concat(F.to_json(F.struct(*fields)), F.when(F.col("path") < F.col("_last"), ",").otherwise(""))
     files = line(marked, 3, zero, F.col("path"), file_line)

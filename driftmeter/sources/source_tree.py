@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import escape
 from ..operators import rollup, scope
-from ..operators.skew import attach
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every file below ``root``, recursively; vanished or unreadable files are skipped."""
+    """(path, content) of every file below ``root``, recursively; vanished or unreadable files are skipped.
+
+    Bytes that are not UTF-8 become replacement characters, so a file in any encoding is counted.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -24,7 +26,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     # Spark reports URIs such as file:/a/b or hdfs://host/a/b; the root may be given either way
     tail = escape(root.split(":", 1)[-1].lstrip("/").rstrip("/"))
     relative = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), f"^.*?{tail}/+", "")
-    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def scan_tree(
@@ -77,14 +79,15 @@ def scan_manifests(
 
     ``manifests`` holds (repo, commit_hash, path, content_hash) for whole
     snapshots, ``blobs`` (content_hash, content).  A text that fills many paths
-    is measured once per language and its counts go back by a sliced join.
+    is measured once per language and its counts go back by a join.  An entry
+    without its blob stays, as an empty text.
     """
     files = scope.drop_excluded(scope.drop_ignored_directories(manifests), exclude)
     files = scope.assign_language(files)
-    uses = files.groupBy("content_hash", "language").agg(F.count(F.lit(1)).alias("_uses"))
+    uses = files.where("content_hash is not null").select("content_hash", "language").distinct()
     measured = rollup.measure_text(uses.join(blobs, "content_hash"))
-    keys = ["content_hash", "language"]
-    rows = attach(files, measured, keys, "_uses", ["repo", "commit_hash", "path"]).drop("_uses", "content_hash")
+    counted = [c for c in measured.columns if c not in ("content_hash", "language")]
+    rows = files.join(measured, ["content_hash", "language"], "left").drop("content_hash").fillna(0, counted)
     return _finish(scope.classify_kind(rows, utility), functions, list(rollup.COMMIT))
 
 

@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +27,9 @@ SCHEMAS = {
     "repos": schemas.REPOS,
 }
 REPO_BUCKETS = 64
+_BUCKET = f"cast(pmod(xxhash64(repo), {REPO_BUCKETS}) as int) as repo_bucket"
+# no folder yet, or one without files; any other error is one
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -36,7 +39,7 @@ def work_folder(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.gettempdir() + "/driftmeter"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
@@ -70,21 +73,30 @@ class MetricsStore:
         return f"{self.root}/{table}"
 
     def read(self, table: str) -> DataFrame:
+        return self._read(table, F.lit(True))
+
+    def _read(self, table: str, wanted: Column) -> DataFrame:
         schema = StructType([*SCHEMAS[table].fields])
         try:
             rows = self.spark.read.option("recursiveFileLookup", "false").parquet(self.path(table))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() not in NOTHING_STORED:
+                raise
             return self.spark.createDataFrame([], schema)
-        return rows.select(*schema.names)
+        return rows.where(wanted).select(*schema.names)
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Append the rows whose key is not stored yet."""
-        self._write(table, maintenance.insert_if_absent(rows, self.read(table), KEYS[table]))
+        self._write(table, maintenance.insert_if_absent(rows, self.stored_beside(table, rows), KEYS[table]))
+
+    def stored_beside(self, table: str, rows: DataFrame) -> DataFrame:
+        """Stored rows of the buckets that rows fall into, REPO_BUCKETS at most: no other folder is opened."""
+        buckets = sorted(r[0] for r in rows.selectExpr(_BUCKET).distinct().collect())
+        return self._read(table, F.col("repo_bucket").isin(buckets))
 
     def _write(self, table: str, rows: DataFrame) -> None:
-        bucket = F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int")
         columns = SCHEMAS[table].names
-        bucketed = rows.select(*columns, bucket.alias("repo_bucket"))
+        bucketed = rows.selectExpr(*columns, _BUCKET)
         # adaptive execution splits what is too big for a file and joins what is too small;
         # unlike a range partitioning this does not compute the rows once more to sample them
         placed = bucketed.hint("rebalance", "repo_bucket")

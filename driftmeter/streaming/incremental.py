@@ -1,9 +1,12 @@
-"""Scanning again, only new commits: a file stream scored commit by commit.
+"""Scanning again as files arrive: a stream of raw rows scored commit by commit.
 
-Scores need all files of a commit, so a commit must arrive whole in one
-micro-batch; commits that are stored already are skipped.  A batch writes to
-paths that carry its number and overwrites them when it is replayed, so a
-restart after a lost driver or executor neither loses nor doubles anything.
+Files of a commit are scaled against each other, so a commit counts as a whole
+only when all its rows are there.  Rows may arrive in any number of
+micro-batches: each batch stores its raw rows, and every commit it touches is
+measured and scored anew out of all rows stored for it so far.  The newest
+version of a commit is the valid one.  A batch writes to paths that carry its
+number and overwrites them when it is replayed, and rows that were delivered
+before count once, so neither a restart nor a second delivery changes anything.
 """
 
 from __future__ import annotations
@@ -11,39 +14,40 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import maintenance, scoring
+from ..operators import scoring
 from ..operators.rollup import COMMIT
 
+# raw rows lie in folders by a hash of their commit: a batch reads those of its commits only
+BUCKETS = 64
+
 
 @dataclass(frozen=True)
 class IncrementalScan:
     """Sink of a stream of raw rows that carry (repo, commit_hash).
 
-    ``to_files`` turns the raw rows of whole commits into file metrics.
+    ``to_files`` turns the raw rows of commits into file metrics.  Raw rows are
+    told apart by their columns; rows that are the same in all of them are one.
     """
 
     root: str
     to_files: Callable[[DataFrame], DataFrame]
 
-    def _stored(self, spark: SparkSession, table: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
-            return None  # nothing written yet
-
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = self._stored(spark, "commit_metrics")
-        if stored is not None:
-            earlier = stored.where(F.col("batch") < batch_id)
-            batch = maintenance.new_commits(batch, earlier)
+        bucket = F.pmod(F.xxhash64(*COMMIT), F.lit(BUCKETS)).cast("int")
+        arrived = batch.withColumn("bucket", bucket)
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/raw/batch={batch_id}")
+        # the stored rows were written by this schema; a later batch than this one is there only when this is a replay
+        schema = arrived.withColumn("batch", F.lit(0)).schema
+        raw = spark.read.schema(schema).parquet(f"{self.root}/raw").where(F.col("batch") <= batch_id)
+        touched = raw.where(F.col("batch") == batch_id).select("bucket", *COMMIT).distinct()
+        rows = raw.join(touched, ["bucket", *COMMIT], "left_semi").select(*batch.columns).distinct()
         files_path = f"{self.root}/file_metrics/batch={batch_id}"
-        self.to_files(batch).write.mode("overwrite").parquet(files_path)
+        self.to_files(rows).write.mode("overwrite").parquet(files_path)
         metrics = scoring.entropy_by_commit(spark.read.parquet(files_path))
         metrics.write.mode("overwrite").parquet(f"{self.root}/commit_metrics/batch={batch_id}")
 
@@ -57,9 +61,12 @@ class IncrementalScan:
         )
 
     def commit_metrics(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/commit_metrics").select(
-            *COMMIT, "total_files", "total_sloc", "entropy"
-        )
+        """The newest metrics of every commit."""
+        values = F.struct("total_files", "total_sloc", "entropy")
+        rows = spark.read.parquet(f"{self.root}/commit_metrics")
+        return rows.groupBy(*COMMIT).agg(F.max_by(values, "batch").alias("_m")).select(*COMMIT, "_m.*")
 
     def file_metrics(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/file_metrics").drop("batch")
+        """Files of the newest version of every commit."""
+        newest = spark.read.parquet(f"{self.root}/commit_metrics").groupBy(*COMMIT).agg(F.max("batch").alias("batch"))
+        return spark.read.parquet(f"{self.root}/file_metrics").join(newest, [*COMMIT, "batch"], "left_semi").drop("batch")

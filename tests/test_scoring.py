@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftmeter.operators import ranking, rollup, scoring
 
@@ -111,28 +112,39 @@ def test_against_brute_force(make_files):
     assert 0 <= score / (sum(expected) / len(expected)) <= 1 + 1e-9
 
 
-def test_hot_commits_change_nothing(make_files):
-    files = random_files(make_files, 2, 80, "hot").unionByName(random_files(make_files, 3, 9, "cold"))
-    plain, cut = {}, {}
-    for target, limits in ((plain, {}), (cut, {"hot_rows": 20, "max_hot_keys": 1})):
-        for row in scoring.diffusion_contributions(files, **limits).collect():
-            target[row.commit_hash, row.path] = (row.badness, row.diffusion)
-    assert len(plain) == 89
-    assert plain.keys() == cut.keys()
-    for key, value in plain.items():
-        assert cut[key] == pytest.approx(value, abs=1e-12)
-
-
-def test_hot_rows_leave_the_key_partition(spark, make_files):
-    """The rows of a hot commit must be shuffled by more than the commit."""
-    files = random_files(make_files, 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    "spark.sql.shuffle.partitions": "40",
+}
+
+
+@pytest.mark.parametrize("score", [scoring.badness_by_file, scoring.diffusion_contributions])
+def test_hot_commits_take_more_than_one_task(spark, score):
+    """95 % of all files in three commits; the planner splits each of them."""
+    commits = "case when id % 20 = 0 then concat('c', id % 200) else concat('hot', id % 3) end"
+    files = spark.range(0, 60_000, 1, 12).selectExpr(
+        "'r' as repo", f"{commits} as commit_hash", "concat('f', id) as path", "'C' as language", "id % 97 as sloc", "cast(id % 13 as double) as cc",
+        "cast(id % 100 as double) as mi", "id % 3 as smells_high", "id % 5 as smells_medium", "id % 7 as smells_low", "id % 11 as coupling", "'Production' as kind",
+    )
+    kept = {k: spark.conf.get(k) for k in SPLIT}
+    plain = {(r.commit_hash, r.path): r.badness for r in score(files).collect()}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
     try:
-        plan = scoring.badness_by_file(files)._jdf.queryExecution().executedPlan().toString()
+        rows = score(files).withColumn("task", F.spark_partition_id()).collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert any("_slice" in line for line in shuffles), plan
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.commit_hash, set()).add(r.task)
+    assert all(len(tasks[f"hot{k}"]) > 1 for k in range(3))
+    assert {(r.commit_hash, r.path): pytest.approx(r.badness, abs=1e-12) for r in rows} == plain
 
 
 def test_kinds_are_scored_apart(make_files):

@@ -48,11 +48,8 @@ def test_snapshots_match_a_replay(log, monkeypatch, block):
     assert set(rows) == replay(changes, commits)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_changed_files(spark, log, monkeypatch, hot_rows):
+def test_changed_files(spark, log):
     changes, commits, _, commit_frame = log
-    if hot_rows:
-        monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     trees = replay(changes, commits)
     manifests = spark.createDataFrame(sorted(trees), "repo string, commit_hash string, path string, content_hash string")
     # a second child of the same parent, with the tree of an unrelated commit
@@ -82,18 +79,14 @@ def test_changed_files(spark, log, monkeypatch, hot_rows):
     assert found == expected
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_rows": 3}, {"hot_rows": 1, "max_hot_keys": 1}, {"hot_rows": 1}])
-def test_skew_safe_joins(spark, limits):
-    rows = [("h", i) for i in range(50)] + [(k, i) for k in "abc" for i in range(3)] + [("unmatched", 0)]
+def test_attach(spark):
+    rows = [("h", i) for i in range(50)] + [(k, i) for k in "abc" for i in range(3)] + [("unmatched", 0), (None, 0)]
     frame = spark.createDataFrame(rows, "k string, i int")
-    stats = spark.createDataFrame([("h", 50, None), ("a", 3, 1.5), ("b", 3, 2.5), ("c", 3, 3.5), ("idle", 1, 9.0)], "k string, n long, v double")
-    expected = sorted((k, i, dict(h=None, a=1.5, b=2.5, c=3.5)[k]) for k, i in rows if k != "unmatched")
-    found = skew.attach(frame, stats, ["k"], "n", ["i"], **limits).select("k", "i", "v").collect()
-    assert sorted(map(tuple, found), key=lambda t: t[:2]) == sorted(expected, key=lambda t: t[:2])
-
-    many = spark.createDataFrame([(k, p) for k in ("h", "a", "idle") for p in range(4)], "k string, p int")
-    pairs = skew.attach_many(frame, stats, many, ["k"], "n", ["i"], **limits).select("k", "i", "p").collect()
-    assert sorted(map(tuple, pairs)) == sorted((k, i, p) for k, i in rows if k in ("h", "a") for p in range(4))
+    stats = spark.createDataFrame([("h", None), ("a", 1.5), ("b", 2.5), ("c", 3.5), ("idle", 9.0), (None, 1.0)], "k string, v double")
+    expected = sorted((k, i, dict(h=None, a=1.5, b=2.5, c=3.5)[k]) for k, i in rows if k not in ("unmatched", None))
+    found = skew.attach(frame, stats, ["k"])
+    assert found.columns == ["k", "i", "v"]
+    assert sorted(map(tuple, found.collect()), key=lambda t: t[:2]) == sorted(expected, key=lambda t: t[:2])
 
 
 def test_delta_contributors(make_files, make_history):
@@ -117,5 +110,7 @@ def test_maintenance(spark):
     table = spark.createDataFrame([("a", "1"), ("b", "1")], "repo string, commit_hash string")
     assert [r.repo for r in maintenance.clear_history(table, "a").collect()] == ["b"]
     assert maintenance.new_commits(table, table.where("repo = 'a'")).collect()[0].repo == "b"
+    differing = spark.createDataFrame([("a", "1", 5), ("a", "1", 3)], "repo string, commit_hash string, v int")
+    assert maintenance.insert_if_absent(differing, table.where("repo = 'b'"), ["repo", "commit_hash"]).first().v == 3
     doubled = table.unionByName(table)
     assert maintenance.insert_if_absent(doubled, table.where("repo = 'a'"), ["repo", "commit_hash"]).count() == 1

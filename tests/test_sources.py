@@ -193,9 +193,60 @@ def test_stream_equals_batch_and_replays(spark, make_files, tmp_path):
     assert sink.file_metrics(spark).count() == 6
 
 
-@pytest.mark.parametrize("few", [100, 0])
-def test_scan_history_adds_only_new_commits(spark, tmp_path, monkeypatch, few):
-    monkeypatch.setattr(scan, "FEW_COMMITS", few)
+@pytest.mark.parametrize("cuts", [(1, 2), (3,), (1, 4, 7)])
+def test_commits_split_over_batches_equal_the_whole(spark, make_files, tmp_path, cuts):
+    """10 files of two commits, delivered in pieces that split both; every delivery is repeated once."""
+    rows = [{"path": f"f{i}", "sloc": i, "cc": float(i % 4)} for i in range(10)]
+    files = make_files(*rows, commit_hash="c1").unionByName(make_files(*rows[:5], commit_hash="c2"))
+    everything = sorted(files.collect(), key=lambda r: r.path)
+    ends = [0, *(c * len(everything) // 10 for c in cuts), len(everything)]
+    sink = IncrementalScan(str(tmp_path / "out"), lambda batch: batch)
+    deliveries = [everything[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    for k, part in enumerate([d for d in deliveries for _ in range(2)]):
+        sink.process(spark.createDataFrame(part, files.schema), k)
+    expected = {tuple(r) for r in scoring.entropy_by_commit(files).withColumn("entropy", F.round("entropy", 9)).collect()}
+    assert {tuple(r) for r in sink.commit_metrics(spark).withColumn("entropy", F.round("entropy", 9)).collect()} == expected
+    assert sorted(map(tuple, sink.file_metrics(spark).select(*files.columns).collect())) == sorted(map(tuple, everything))
+    sink.process(spark.createDataFrame(deliveries[-1], files.schema), 2 * len(deliveries) - 1)
+    assert {tuple(r) for r in sink.commit_metrics(spark).withColumn("entropy", F.round("entropy", 9)).collect()} == expected
+
+
+def test_tree_in_any_encoding(spark, tmp_path):
+    (tmp_path / "latin.cs").write_bytes("using A;\nint größe;\n".encode("latin-1"))
+    (tmp_path / "binary.py").write_bytes(bytes(range(256)) + b"\nx = 1\n")
+    found = {r.path: r for r in source_tree.scan_tree(spark, str(tmp_path)).collect()}
+    assert set(found) == {"latin.cs", "binary.py"}
+    assert (found["latin.cs"].sloc, found["latin.cs"].coupling) == (2, 1) and found["binary.py"].sloc >= 2
+
+
+def test_manifest_entries_without_blob_stay(spark):
+    manifests = spark.createDataFrame(
+        [("r", "c", "a.cs", "h1"), ("r", "c", "b.cs", "gone"), ("r", "c", "c.cs", None)], "repo string, commit_hash string, path string, content_hash string"
+    )
+    blobs = spark.createDataFrame([("h1", "using A;\nx"), ("other", "y")], "content_hash string, content string")
+    found = {r.path: (r.sloc, r.coupling) for r in source_tree.scan_manifests(manifests, blobs).collect()}
+    assert found == {"a.cs": (2, 1), "b.cs": (0, 0), "c.cs": (0, 0)}
+
+
+def test_appends_open_only_their_buckets(spark, make_files, tmp_path):
+    store = tables.MetricsStore(spark, str(tmp_path / "store"))
+    for repo in ("r", "s"):
+        store.append("file_metrics", make_files({}, {}, repo=repo))
+    plan = store.stored_beside("file_metrics", make_files({}, repo="r"))
+    assert {r.repo for r in plan.collect()} == {"r"}
+    assert "repo_bucket" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    store.append("file_metrics", make_files({}, {"path": "new"}, repo="r"))
+    assert store.read("file_metrics").count() == 5
+
+
+def test_a_broken_store_is_an_error(spark, tmp_path):
+    (tmp_path / "commits").mkdir()
+    (tmp_path / "commits" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        tables.MetricsStore(spark, str(tmp_path)).read("commits").count()
+
+
+def test_scan_history_adds_only_new_commits(spark, tmp_path):
     rows = [("r", c, p, t) for c in ("c1", "c2") for p, t in (("a.cs", "using A;\nx"), ("b.py", "# c\ny\nz"), ("obj/c.cs", "q"))]
     texts = spark.createDataFrame(rows, "repo string, commit_hash string, path string, content string")
     commits = spark.sql(
