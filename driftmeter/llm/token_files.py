@@ -43,7 +43,9 @@ ESCAPE = 15
 #: Ids in a segment at most; longer documents take several.
 SEGMENT = 1 << 19
 #: Ids coded or decoded together, about.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 18
+#: Texts split into words together.
+TEXTS = 1000
 CACHED_WORDS = 800_000
 
 _COUNTS = np.array([n for n, _ in PACKINGS] + [0, 1], np.int64)
@@ -70,7 +72,7 @@ def pack(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     for count in range(2, PACKINGS[0][0] + 1):
         np.maximum(largest, width[:, count - 1 : count - 1 + BLOCK], out=largest)
         if count in selectors:
-            fits[largest <= PACKINGS[selectors[count]][1]] = selectors[count]
+            np.copyto(fits, selectors[count], where=largest <= PACKINGS[selectors[count]][1])
     fits[table[:, :BLOCK] >> np.uint64(60) != 0] = ESCAPE
     places, owners, chosen = [index[:0]], [index[:0]], [index[:0]]
     at, live = np.zeros(len(index), np.int64), index
@@ -255,12 +257,14 @@ def _encode(path: str, end: int):
         for batch in batches:
             some: list[tuple[int | None, np.ndarray]] = []
             size = 0
-            for key, ids in zip(batch["id"].to_pylist(), _coders[path].encode(batch["raw"].to_pylist()), strict=True):
-                some.append((key, np.concatenate([ids, last])))
-                size += len(ids)
-                if size >= TOGETHER:
-                    yield pa.RecordBatch.from_arrays([pa.array(segments(some), pa.binary())], names=["value"])
-                    some, size = [], 0
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                for key, ids in zip(part["id"].to_pylist(), _coders[path].encode(part["raw"].to_pylist()), strict=True):
+                    some.append((key, np.concatenate([ids, last])))
+                    size += len(ids)
+                    if size >= TOGETHER:
+                        yield pa.RecordBatch.from_arrays([pa.array(segments(some), pa.binary())], names=["value"])
+                        some, size = [], 0
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(segments(some), pa.binary())], names=["value"])
 

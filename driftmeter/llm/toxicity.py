@@ -44,7 +44,9 @@ BITS = 16
 SENTENCE = 16
 #: Characters of a word that are compared; longer words are compared in pieces of this length, at each half.
 WORD = 16
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
+#: Texts scored together.
+TOGETHER = 256
 #: Subsequences by the places of their characters after the first.
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHTS = np.array([DECAY ** (j + 1 - 3) for _, j in _GAPS], np.float32)
@@ -327,6 +329,8 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
+            texts = batch.tolist()  # split into words some at a time
+            found = [scorer.scores(texts[at : at + TOGETHER]) for at in range(0, len(texts), TOGETHER)]
+            yield pd.Series(np.concatenate([np.zeros(0), *found]), dtype="float64")
 
     return docs.drop("score").withColumn("score", score(F.col(text)))
