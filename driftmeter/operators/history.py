@@ -65,12 +65,12 @@ def history_join(metrics: DataFrame, commits: DataFrame) -> DataFrame:
     """Commit metrics with their times.
 
     Where none of a repository's metrics has a known commit, all its metrics
-    are kept with the earliest possible time.
+    are kept with the 3rd of January of year 1, which every time zone can show.
     """
     known = commits.select("repo", "commit_hash", "ts", "parents")
     joined = keyed(metrics, ["repo"]).join(known, ["repo", "commit_hash"], "left")
     found = joined.groupBy("repo").agg(F.count(F.lit(1)).alias("_rows"), F.count("ts").alias("_known"))
-    beginning = F.lit("0001-01-01 00:00:00").cast(commits.schema["ts"].dataType)
+    beginning = F.lit("0001-01-03 00:00:00").cast(commits.schema["ts"].dataType)
     rows = attach(joined, found, ["repo"])
     return rows.where(F.col("ts").isNotNull() | (F.col("_known") == 0)).select(
         *metrics.columns,

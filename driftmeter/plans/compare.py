@@ -10,16 +10,17 @@ from ..operators.history import ORDER
 from ..sources import snapshot_json
 
 
-def summary_at(past: DataFrame, commit_hash: str) -> DataFrame:
-    """(repo, entropy, files, sloc, commits) as of a commit, up to its place in the time order of its repository.
-
-    Repositories without that commit have no row.
-    """
+def until(past: DataFrame, commit_hash: str) -> DataFrame:
+    """History up to a commit's place in the time order of its repository; repositories without it have no row."""
     place = F.struct(*ORDER)
     named = past.where(F.col("commit_hash") == commit_hash).groupBy("repo").agg(F.min(place).alias("_until"))
-    until = past.join(named, "repo").where(place <= F.col("_until"))
+    return past.join(named, "repo").where(place <= F.col("_until")).select(*past.columns)
+
+
+def summary_at(past: DataFrame, commit_hash: str) -> DataFrame:
+    """(repo, entropy, files, sloc, commits) as of a commit; see until()."""
     newest = F.max_by(F.struct("entropy", "total_files", "total_sloc"), F.struct(*ORDER))
-    rows = until.groupBy("repo").agg(newest.alias("_head"), F.count(F.lit(1)).alias("commits"))
+    rows = until(past, commit_hash).groupBy("repo").agg(newest.alias("_head"), F.count(F.lit(1)).alias("commits"))
     return rows.select(
         "repo",
         F.col("_head.entropy").alias("entropy"),

@@ -495,7 +495,7 @@ def _(spark, sf_dir):
 @query("observations")
 def _(spark, sf_dir):
     past = views.history(spark, sf_dir)
-    until = past.where(F.col("commit_hash") <= views.CURRENT)
+    until = compare.until(past, views.CURRENT)
     return publish(
         diff.observations(
             compare.summary_at(past, views.BASELINE),

@@ -140,7 +140,7 @@ VIEWS: dict[str, str] = {
       FROM part""",
     "v_functions": """
       SELECT l_returnflag AS repo, strftime(l_shipdate, '%Y-%m') AS commit_hash, path, l_quantity AS ccn,
-        l_quantity::INT AS nloc, l_linenumber AS imports
+        l_quantity::INT AS nloc, l_suppkey AS import
       FROM lineitem JOIN v_files ON file_id = l_partkey""",
     "v_file_metrics": f"""
       SELECT *, {_MI.format(cc='cc', sloc='sloc')} AS mi, {_language('path')} AS language, {_kind('path')} AS kind FROM (
@@ -148,7 +148,7 @@ VIEWS: dict[str, str] = {
           count(*) FILTER (ccn > 20)::BIGINT AS smells_high,
           count(*) FILTER (ccn > 15 AND ccn <= 20)::BIGINT AS smells_medium,
           count(*) FILTER (ccn > 10 AND ccn <= 15)::BIGINT AS smells_low,
-          sum(imports)::BIGINT AS coupling
+          count(DISTINCT import)::BIGINT AS coupling
         FROM v_functions GROUP BY repo, commit_hash, path)""",
     "v_scored": _scored("v_file_metrics", "repo, commit_hash"),
     "v_metrics": _entropy("v_scored", "repo, commit_hash"),
@@ -256,7 +256,7 @@ VIEWS: dict[str, str] = {
       SELECT repo, commit_hash, {_DOC_PATH} AS path, avg(l_quantity) AS cc,
         count(*) FILTER (l_quantity > 20) AS smells_high, count(*) FILTER (l_quantity > 15 AND l_quantity <= 20) AS smells_medium,
         count(*) FILTER (l_quantity > 10 AND l_quantity <= 15) AS smells_low
-      FROM lineitem JOIN (SELECT doc_id, 'repo_' || lang AS repo, source AS commit_hash FROM documents) ON doc_id = l_partkey
+      FROM lineitem JOIN (SELECT doc_id, 'repo_' || lang AS repo, source AS commit_hash FROM documents) ON doc_id = l_partkey % (SELECT max(doc_id) + 1 FROM documents)
       GROUP BY ALL""",
     "v_blob_files": f"""
       SELECT s.repo, s.commit_hash, s.path, s.language, s.sloc, coalesce(f.cc, 0.0) AS cc,
@@ -537,7 +537,7 @@ STATEMENTS: dict[str, str] = {
     "history_join": f"""
       WITH known AS (SELECT * FROM v_commits WHERE repo = 'A' OR (repo = 'R' AND commit_hash >= '{views.START}')),
         joined AS (SELECT m.*, k.ts, k.parents FROM v_metrics m LEFT JOIN known k USING (repo, commit_hash))
-      SELECT repo, commit_hash, total_files, total_sloc, {_E6}, coalesce(ts, '0001-01-01') AS ts,
+      SELECT repo, commit_hash, total_files, total_sloc, {_E6}, coalesce(ts, '0001-01-03') AS ts,
         coalesce(len(parents), 0)::BIGINT AS parents
       FROM joined WHERE ts IS NOT NULL OR repo NOT IN (SELECT repo FROM joined WHERE ts IS NOT NULL)""",
     "metrics_chronological": f"""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmeter.operators import diff, history
+from driftmeter.plans import compare
 
 
 def test_deltas(make_history):
@@ -142,7 +143,7 @@ def test_history_join_falls_back_to_the_beginning_of_time(spark):
     metrics = spark.createDataFrame([("a", "1", 1.0), ("a", "2", 2.0), ("b", "3", 3.0)], "repo string, commit_hash string, entropy double")
     commits = spark.sql("select 'a' repo, '1' commit_hash, timestamp'2020-01-01' ts, array('0') parents")
     joined = history.history_join(metrics, commits)
-    rows = {r.commit_hash: r.year for r in joined.select("commit_hash", F.year("ts").alias("year")).collect()}
+    rows = {r.commit_hash: r.ts.year for r in joined.collect()}
     assert rows == {"1": 2020, "3": 1}
     order = [r.commit_hash for r in history.metrics_chronological(metrics.where("repo = 'a'"), commits).collect()]
     assert order == ["1", "2"]
@@ -157,3 +158,13 @@ def test_range_and_levels(make_history):
     assert bands == ["green", "yellow", "red"]
     trends = [r.trend for r in history.trend_vs_previous(make_history(1.0, 1.01, 1.5, 1.0)).orderBy("ts").collect()]
     assert trends == [None, "stable", "worsening", "improving"]
+
+
+def test_until_follows_time_not_hashes(spark):
+    rows = [("r", h, e, i) for i, (h, e) in enumerate([("f3", 1.0), ("0a", 2.0), ("9c", 3.0), ("1b", 4.0)])]
+    past = spark.createDataFrame(rows, "repo string, commit_hash string, entropy double, i int").selectExpr(
+        "*", "timestamp'2020-01-01' + i * interval 1 day as ts", "10L as total_files", "100L as total_sloc"
+    )
+    other = past.where("i < 2").withColumn("repo", F.lit("s"))
+    assert [r.commit_hash for r in compare.until(past.unionByName(other), "9c").orderBy("ts").collect()] == ["f3", "0a", "9c"]
+    assert [tuple(r) for r in compare.summary_at(past, "9c").collect()] == [("r", 3.0, 10, 100, 3)]
