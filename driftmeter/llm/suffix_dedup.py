@@ -294,7 +294,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     place = [F.shiftright("p", 24).alias("lo"), F.shiftright("p", 12).bitwiseAND(F.lit(4095)).alias("n"), F.col("p").bitwiseAND(F.lit(4095)).cast("int").alias("o")]
     found = texts.select("u", "raw").filter(F.octet_length("raw") >= length).mapInArrow(_anchor_rows(length, gram), "a long, c long, u long, p long")
     found = stored(found, "anchors")
-    often = found.groupBy("a").count().filter("count > 1").select("a")
+    # stored: of a join of two tables, not of a count, the planner can split the rows of one anchor
+    often = stored(found.groupBy("a").count().filter("count > 1").select("a"), "repeated-anchors")
     shared = stored(found.join(often, "a"), "shared")
     kinds = shared.groupBy("a", "c").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("u", "p")).alias("x"))
     kinds = stored(kinds.select("a", "c", "copies", "x.u", "x.p"), "contexts")
