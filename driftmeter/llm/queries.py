@@ -73,4 +73,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_source_mixing, op4_projected_search, op5_external_shuffle, op6_quality_rules, op7_byte_bpe, op8_page_diff, op9_suffix_array_dedup, op10_toxicity, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+# SQL for the templates of the given pages: their articles hold no markup but h1, p, b and br, and few character references
+_BLOCKS = "regexp_split_to_array(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1|br)>')"
+_UNMARKED = "regexp_replace(x, '<[^>]+>', '', 'g')"
+_DECODED = f"""regexp_replace(replace(replace(replace({_UNMARKED}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_page_diff": f"""
+      SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+        SELECT page_id, url, array_to_string(list_filter(list_transform({_BLOCKS},
+          lambda x: trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+        FROM pages)""",
+}
