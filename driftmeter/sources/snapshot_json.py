@@ -161,6 +161,30 @@ def write_snapshots(lines: DataFrame, path: str) -> None:
     ordered.select("repo", "line").write.mode("errorifexists").partitionBy("repo").text(path)
 
 
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``write_snapshots`` left below ``path``: (repo, section, line), whatever the number of part files.
+
+    Every line says by its first property which section it belongs to, so no document is assembled.
+    """
+    lines = spark.read.schema("value string, repo string").text(path).withColumnRenamed("value", "line")
+    starts = ('{"generated":', '{"hash":', "],", '{"path":', "]}")
+    section = None
+    for number, start in enumerate(starts):
+        hit = F.startswith("line", F.lit(start))
+        section = F.when(hit, number) if section is None else section.when(hit, number)
+    # to_json leaves out what is null: such an entry is told by the properties it has
+    rest = F.when(F.col("line").contains('"badness":') | F.col("line").contains('"kind":'), 3).otherwise(1)
+    return lines.select("repo", section.otherwise(rest).alias("section"), "line")
+
+
+def parse_snapshot_heads(lines: DataFrame) -> DataFrame:
+    """(repo, generated, commits, entropy, files, sloc) straight from the lines, one row per document."""
+    head = F.from_json(F.regexp_replace("line", r',"history":\[$', "}"), schemas.SNAPSHOT)
+    return lines.where(F.col("section") == 0).select("repo", head.alias("_head")).select(
+        "repo", "_head.generated", F.col("_head.commitCount").alias("commits"), "_head.summary.*"
+    )
+
+
 def parse_snapshot_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """History entries and files straight from ``snapshot_lines``, without assembling a document."""
     def rows(section: int, schema) -> DataFrame:

@@ -122,7 +122,19 @@ def _latest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query("snapshot_json_write")
 def _(spark, sf_dir):
     past, latest = _latest(spark, sf_dir)
-    entries, files = snapshot_json.parse_snapshot_lines(snapshot_json.snapshot_lines(past, latest))
+    path = tables.work_folder(spark)
+    snapshot_json.write_snapshots(snapshot_json.snapshot_lines(past, latest), path)
+    lines = snapshot_json.read_written(spark, path)
+    entries, files = snapshot_json.parse_snapshot_lines(lines)
+    heads = snapshot_json.parse_snapshot_heads(lines).select(
+        "repo", F.lit("summary").alias("section"), F.col("commits").cast("string").alias("name"), F.lit("").alias("date"),
+        F.col("entropy").alias("value"), "files", "sloc",
+    )
+    none = F.lit(0).cast("bigint")
+    frame = lines.where(F.col("section").isin(2, 4)).select(
+        "repo", F.lit("frame").alias("section"), F.col("line").alias("name"), F.lit("").alias("date"),
+        F.lit(0.0).alias("value"), none.alias("files"), none.alias("sloc"),
+    )
     entries = entries.select(
         "repo", F.lit("history").alias("section"), F.col("hash").alias("name"), "date",
         F.col("entropy").alias("value"), "files", "sloc",
@@ -131,7 +143,7 @@ def _(spark, sf_dir):
         "repo", F.lit("file").alias("section"), F.col("path").alias("name"), F.lit("").alias("date"),
         F.col("badness").alias("value"), F.lit(1).cast("bigint").alias("files"), "sloc",
     )
-    return publish(entries.unionByName(files))
+    return publish(entries.unionByName(files).unionByName(heads).unionByName(frame))
 
 
 @query("metrics_tables_write")

@@ -402,7 +402,12 @@ STATEMENTS: dict[str, str] = {
         total_sloc AS sloc FROM v_history
       UNION ALL
       SELECT repo, 'file', path, '', {r6('badness')}, 1::BIGINT, sloc
-      FROM v_scored JOIN (SELECT repo, max(commit_hash) AS commit_hash FROM v_commits GROUP BY repo) USING (repo, commit_hash)""",
+      FROM v_scored JOIN (SELECT repo, max(commit_hash) AS commit_hash FROM v_commits GROUP BY repo) USING (repo, commit_hash)
+      UNION ALL
+      SELECT repo, 'summary', count(*)::VARCHAR, '', {r6('max_by(entropy, commit_hash)')}, max_by(total_files, commit_hash),
+        max_by(total_sloc, commit_hash) FROM v_history GROUP BY repo
+      UNION ALL
+      SELECT DISTINCT repo, 'frame', unnest(['],"latestFiles":[', ']}}']), '', 0.0, 0::BIGINT, 0::BIGINT FROM v_history""",
     "metrics_tables_write": """
       SELECT repo, commit_hash, count(*)::BIGINT AS total_files, sum(sloc)::BIGINT AS total_sloc
       FROM v_file_metrics GROUP BY repo, commit_hash""",

@@ -101,6 +101,12 @@ def test_written_document_is_valid_and_complete(spark, make_files, make_history,
     assert len(documents["s"]["latestFiles"]) == 1
     entries, listed = snapshot_json.parse_snapshot_lines(lines)
     assert (entries.count(), listed.count()) == (4, 3)
+    # the folder reads back line by line, from however many part files
+    again = snapshot_json.read_written(spark, out)
+    rest = lambda rows: sorted(map(tuple, rows.where("section > 0").select("repo", "section", "line").collect()))
+    assert rest(again) == rest(lines)  # the heads carry the time of writing
+    heads = {r.repo: (r.commits, r.entropy, r.files, r.sloc) for r in snapshot_json.parse_snapshot_heads(again).collect()}
+    assert heads == {"r": (3, 1.5, 10, 100), "s": (1, 0.5, 10, 100)}
     # what was written reads back as snapshots
     text = spark.createDataFrame([(k, json.dumps(v)) for k, v in documents.items()], "repo string, json string")
     parsed = snapshot_json.parse_snapshots(text, "json")
@@ -211,6 +217,16 @@ def test_commits_split_over_batches_equal_the_whole(spark, make_files, tmp_path,
     assert {tuple(r) for r in sink.commit_metrics(spark).withColumn("entropy", F.round("entropy", 9)).collect()} == expected
 
 
+def test_document_of_many_parts_reads_back(spark, make_files, make_history, tmp_path):
+    files = make_files(*[{"path": f"f{i:04d}", "sloc": i} for i in range(1500)], commit_hash="h002")
+    lines = snapshot_json.snapshot_lines(make_history(1.0, 2.0, 1.5), files)
+    out = str(tmp_path / "many")
+    lines.repartition(9).select("repo", "line").write.partitionBy("repo").text(out)
+    assert len([n for n in os.listdir(os.path.join(out, "repo=r")) if n.startswith("part-")]) > 1
+    entries, listed = snapshot_json.parse_snapshot_lines(snapshot_json.read_written(spark, out))
+    assert (entries.count(), listed.count(), listed.selectExpr("sum(sloc)").first()[0]) == (3, 1500, sum(range(1500)))
+
+
 def test_tree_in_any_encoding(spark, tmp_path):
     (tmp_path / "latin.cs").write_bytes("using A;\nint größe;\n".encode("latin-1"))
     (tmp_path / "binary.py").write_bytes(bytes(range(256)) + b"\nx = 1\n")
