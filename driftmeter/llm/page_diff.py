@@ -5,8 +5,10 @@ is paired with the neighbour whose path has more leading segments in common with
 lines of both are aligned by a longest common subsequence, and lines that are shared are deleted: menus, notices, adverts
 and footers that a site repeats. Two things are known from the page itself and go before that: text in elements whose
 tag, role or class says that it is furniture goes even when the neighbour lacks it, and text in an article element stays
-even when the neighbour quotes or copies it. A page with articles has no other main text. Pages whose lines outside
-articles are the same as their neighbour's are copies; they tell nothing about what is shared, and lose nothing.
+even when the neighbour quotes or copies it. What lies outside articles is judged by the alignment on every page, whether
+it has articles or not: an article may be a mere teaser. Lines of the neighbour's articles are main text there and mark
+nothing as repeated. Pages that are the same as their neighbour in all lines are copies; they tell nothing about what is
+shared, and lose nothing.
 """
 
 from __future__ import annotations
@@ -156,18 +158,20 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, str]], hashes: list[int], neighbour: list[int]) -> str:
-    """Blocks that stay, joined by line ends. hashes: of the page's blocks outside articles; neighbour: of the other's."""
-    if any(kind == "main" for kind, _ in page):
-        kept = [text for kind, text in page if kind == "main"]
-    else:
-        shared = common_lines(hashes, neighbour) if hashes != neighbour else set()
-        outside = [(kind, text) for kind, text in page if kind != "main"]
-        kept = [text for k, (kind, text) in enumerate(outside) if kind == "rest" and k not in shared]
+    """Blocks that stay, joined by line ends. hashes: those of the page; neighbour: those of the other one, or none."""
+    shared = common_lines(hashes[1:], neighbour[1:]) if hashes != neighbour else set()
+    kept, k = [], 0
+    for kind, text in page:
+        if kind == "main" or kind == "rest" and k not in shared:
+            kept.append(text)
+        k += kind != "main"
     return "\n".join(kept)
 
 
 def _hashes(page: list[tuple[str, str]]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(text) for kind, text in page if kind != "main"]
+    """A hash of all lines in articles, then one for each line outside them."""
+    articles = xxhash.xxh3_64_intdigest("\n".join(text for kind, text in page if kind == "main"))
+    return [articles, *(xxhash.xxh3_64_intdigest(text) for kind, text in page if kind != "main")]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -79,6 +79,21 @@ def test_shared_lines_go(spark):
     assert len(twice) == 16 and {r["text"] for r in twice if r["url"] == "http://b.com/z"} == {whole.format("alone")}
 
 
+def test_text_outside_articles_is_judged_by_the_neighbour(spark):
+    teaser, quoted = "<article>teaser</article>", "<article>quoted</article>"
+    rows = [
+        (1, "http://a.com/1", _site("body one", teaser)),
+        (2, "http://a.com/2", _site("body two", teaser)),
+        (3, "http://b.com/1", _site("<article>first</article>")),  # the same outside the article
+        (4, "http://b.com/2", _site("<article>second</article>")),
+        (5, "http://c.com/1", _site("own", quoted)),
+        (6, "http://c.com/2", _site("quoted", "<nav>Home</nav>")),
+    ]
+    found = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    assert texts == {1: "body one\nteaser", 2: "body two\nteaser", 3: "first", 4: "second", 5: "own\nquoted", 6: "quoted"}
+
+
 def test_neighbours_do_not_depend_on_the_parts(spark):
     rows = [(k, "h" if k % 3 else "g", f"/{k % 4}/{k % 7}/{k}") for k in range(120)]
     frame = spark.createDataFrame(rows, "row long, host string, path string")
