@@ -13,10 +13,13 @@ shared, and lose nothing.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +45,8 @@ SIGNS = frozenset(
     "subscription share sharing social related recommended comment comments respond replies disqus login signup widget widgets pager pagination".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Bits of an alignment of two pages that are held at once.
+ROW_BITS = 1 << 23
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _SIGN = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Za-z0-9]+")
@@ -114,11 +119,51 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def _masks(right: list[int]) -> Callable[[int], int]:
+    """For a line the bits of its places in right. Only lines that stand in many places are kept as bits."""
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(right):
+        places.setdefault(v, []).append(j)
+    kept: dict[int, int] = {}
+    many = math.isqrt(len(right))
+
+    def mask(v: int) -> int:
+        if v in kept:
+            return kept[v]
+        bits = bytearray(len(right) // 8 + 1)
+        for j in places[v]:
+            bits[j >> 3] |= 1 << (j & 7)
+        out = int.from_bytes(bits, "little")
+        if len(places[v]) > many:
+            kept[v] = out
+        return out
+
+    return mask
+
+
+def _rows(left: list[int], right: list[int]) -> Iterator[int]:
+    """For each line of left the row of its alignment: a 0 bit marks where the longest one so far grows by one."""
+    mask, whole = _masks(right), (1 << len(right)) - 1
+    row = whole
+    for v in left:
+        match = row & mask(v)
+        row = ((row + match) | (row - match)) & whole
+        yield row
+
+
+def _lengths(left: list[int], right: list[int]) -> np.ndarray:
+    """Length of the longest alignment of left with each beginning of right."""
+    row = deque(_rows(left, right), maxlen=1)[0]
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(right) // 8 + 1, "little"), np.uint8), count=len(right), bitorder="little")
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
 def common_lines(a: list[int], b: list[int]) -> set[int]:
     """Places in a of a longest common subsequence of a and b.
 
     Common ends are cut off, lines that the other page lacks are left out; the rest is aligned row by row with the bits
-    of one long number, one for each line of b.
+    of one long number, one for each line of b. Where all rows would take more than ROW_BITS, only the last one is held:
+    a is halved, and b is parted where the alignments of both halves are longest together.
     """
     first, last = 0, 0
     while first < min(len(a), len(b)) and a[first] == b[first]:
@@ -132,15 +177,13 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     right = [v for v in y if v in both]
     if not left:
         return shared
-    masks: dict[int, int] = {}
-    for j, v in enumerate(right):
-        masks[v] = masks.get(v, 0) | 1 << j
+    if len(left) > 1 and len(left) * len(right) > ROW_BITS:
+        lines, half = [x[i] for i in left], len(left) // 2
+        part = _halves(lines, right, half)
+        found = common_lines(lines[:half], right[:part]) | {half + k for k in common_lines(lines[half:], right[part:])}
+        return shared | {first + left[k] for k in found}
     whole = (1 << len(right)) - 1
-    row, rows = whole, []
-    for i in left:  # a 0 bit marks where the longest alignment so far grows by one
-        match = row & masks[x[i]]
-        row = ((row + match) | (row - match)) & whole
-        rows.append(row)
+    rows = list(_rows([x[i] for i in left], right))
     length = lambda r, j: j - (r & ((1 << j) - 1)).bit_count()
     j = len(right)
     for k in range(len(left) - 1, -1, -1):
@@ -157,6 +200,11 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return shared
 
 
+def _halves(left: list[int], right: list[int], half: int) -> int:
+    """Where right is parted so that both parts align best with the two halves of left."""
+    return int((_lengths(left[:half], right) + _lengths(left[half:][::-1], right[::-1])[::-1]).argmax())
+
+
 def main_text(page: list[tuple[str, str]], hashes: list[int], neighbour: list[int]) -> str:
     """Blocks that stay, joined by line ends. hashes: those of the page; neighbour: those of the other one, or none."""
     shared = common_lines(hashes[1:], neighbour[1:]) if hashes != neighbour else set()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -23,6 +24,19 @@ def test_common_lines():
         assert len(found) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
 
 
+def test_common_lines_of_long_pages_take_little_memory(monkeypatch):
+    a, b = list(range(12_000)), list(range(0, 24_000, 2))
+    random.Random(1).shuffle(b)
+    b[3000:9000] = a[3000:9000]
+    tracemalloc.start()
+    found = sorted(page_diff.common_lines(a, b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20 and set(found) >= set(range(3000, 9000))
+    monkeypatch.setattr(page_diff, "ROW_BITS", 6)
+    test_common_lines()
+
+
 def test_query(result, sf):
     pages = pd.read_parquet(f"{sf}/pages.parquet")
     found = result("op8_page_diff").set_index("page_id")
