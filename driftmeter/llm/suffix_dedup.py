@@ -10,7 +10,8 @@ equal offsets. A run of windows with one owner covers a short string, its contex
   is first trimmed to the bytes around its anchor that another context of the anchor shares on that side at all; what
   is then equal is kept once. The rest is suffix-sorted block by block, by linear grouping (:func:`suffix_array`), and
   windows at neighbouring suffixes are compared byte by byte. A group of contexts too large for one task is spread
-  over several, untrimmed; their windows then meet once more by 128-bit digests, counted with map-side combine.
+  over several, untrimmed, and one too large for a block is cut into several after trimming; the windows of such blocks
+  then meet once more by 128-bit digests, counted with map-side combine.
 
 Contexts are told apart by a 64-bit anchor hash together with a 64-bit context digest, texts by two 64-bit hashes.
 """
@@ -18,7 +19,8 @@ Contexts are told apart by a 64-bit anchor hash together with a 64-bit context d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ LENGTH = 200
 GRAM = 64
 #: Bytes whose suffixes are sorted together, about.
 BLOCK_BYTES = 1 << 17
-#: Bytes of contexts of one anchor that one task takes; a larger group is spread.
+#: Bytes of contexts of one anchor that one task takes; a larger group is spread, in parts of some BLOCK_BYTES.
 GROUP_BYTES = 1 << 23
+#: Rows of one batch of results.
+_BATCH = 10_000
 #: Window starts taken at once in a long text; their positions fit the low bits of a key.
 _PIECE = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -214,8 +218,9 @@ _SPANS = pa.schema([("u", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("
 def _sort_blocks(length: int, block_bytes: int):
     """Contexts (a, salt, spread, copies, u, lo, o, seg), sorted by a and salt, to repeated windows.
 
-    A row with null d1 is a run of n windows from lo that are repeated within its group. A row with d1 and d2 is one
-    window of a spread group: its digest, and how often it is certain to occur, at most 2.
+    A row with null d1 is a run of n windows from lo that are repeated within their block. Each different window of a
+    block of a spread group also has a row with its digest (d1, d2), one of its places, and how often it is certain to
+    occur, at most 2. A group that is larger than a block when trimmed is spread over blocks here.
     """
 
     def settle(strings: list[tuple[bytes, bool, list[tuple[dict, int]]]]) -> Iterator[dict]:
@@ -236,15 +241,14 @@ def _sort_blocks(length: int, block_bytes: int):
                 j += 1
             held = [(owner[p], p - starts[owner[p]]) for p in order[i:j]]
             certain = sum(r["copies"] for k, _ in held for r, _ in strings[k][2])
-            digest = None
-            for k, at in held:
-                if not strings[k][1]:
-                    if certain > 1:
-                        repeated[k].append(at)
-                    continue
-                digest = digest or np.frombuffer(hashlib.blake2b(window, digest_size=16).digest(), np.int64).tolist()
-                for r, start in strings[k][2]:
-                    yield {"u": r["u"], "lo": r["lo"] + start + at, "n": 1, "d1": digest[0], "d2": digest[1], "copies": r["copies"]}
+            if certain > 1:
+                for k, at in held:
+                    repeated[k].append(at)
+            k, at = held[0]
+            if strings[k][1]:
+                digest = np.frombuffer(hashlib.blake2b(window, digest_size=16).digest(), np.int64).tolist()
+                r, start = strings[k][2][0]
+                yield {"u": r["u"], "lo": r["lo"] + start + at, "n": 1, "d1": digest[0], "d2": digest[1], "copies": min(certain, 2)}
             i = j
         for (_, _, holders), places in zip(strings, repeated, strict=True):
             if places:
@@ -264,26 +268,34 @@ def _sort_blocks(length: int, block_bytes: int):
         if group:
             yield group
 
+    def sent(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows, _BATCH):
+            yield pa.RecordBatch.from_pylist(list(some), schema=_SPANS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[bytes, bool, list[tuple[dict, int]]]] = []
         size = 0
         for group in groups(batches):
-            if group[0]["spread"]:
-                waiting += [(r["seg"], True, [(r, 0)]) for r in group]
-                size += sum(len(r["seg"]) for r in group)
+            if spread := group[0]["spread"]:
+                strings = [(r["seg"], [(r, 0)]) for r in group]
             else:
-                strings = _trimmed(group, length)
-                if len(strings) > 1:
-                    waiting += [(s, False, holders) for s, holders in strings.items()]
-                    size += sum(map(len, strings))
-                else:  # one string that several contexts hold
-                    out = [{"u": r["u"], "lo": r["lo"] + start, "n": len(s) - length + 1, "d1": None, "d2": None, "copies": 0} for s, holders in strings.items() if len(holders) > 1 for r, start in holders]
-                    yield pa.RecordBatch.from_pylist(out, schema=_SPANS)
+                strings = list(_trimmed(group, length).items())
+                if len(strings) == 1:  # one string that several contexts hold
+                    s, holders = strings.pop()
+                    if len(holders) > 1:
+                        yield from sent({"u": r["u"], "lo": r["lo"] + start, "n": len(s) - length + 1, "d1": None, "d2": None, "copies": 0} for r, start in holders)
+                spread = sum(len(s) for s, _ in strings) > block_bytes
+            for s, holders in strings:
+                waiting.append((s, spread, holders))
+                size += len(s)
+                if spread and size >= block_bytes:
+                    yield from sent(settle(waiting))
+                    waiting, size = [], 0
             if size >= block_bytes:
-                yield pa.RecordBatch.from_pylist(list(settle(waiting)), schema=_SPANS)
+                yield from sent(settle(waiting))
                 waiting, size = [], 0
         if waiting:
-            yield pa.RecordBatch.from_pylist(list(settle(waiting)), schema=_SPANS)
+            yield from sent(settle(waiting))
 
     return run
 
@@ -301,7 +313,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     kinds = stored(kinds.select("a", "c", "copies", "x.u", "x.p"), "contexts")
     whole = shared.join(kinds.filter("copies = 2").select("a", "c"), ["a", "c"], "left_semi").select("u", *place[:2])
     size = F.sum(F.shiftright("p", 12).bitwiseAND(F.lit(4095)) + (length - 1))
-    groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.ceil(size / group_bytes).cast("int").alias("blocks")).filter("kinds > 1").select("a", "blocks")
+    groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.when(size > group_bytes, F.ceil(size / min(block_bytes, group_bytes))).otherwise(1).cast("int").alias("blocks")).filter("kinds > 1").select("a", "blocks")
     left = kinds.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("u", "p"), F.col("blocks")).cast("int")).select("a", "blocks", "salt", "copies", "u", *place)
     seg = F.expr(f"substring(raw, int(lo + 1), int(n + {length - 1}))").alias("seg")
     seg = left.join(texts.select("u", "raw"), "u").select("a", "salt", (F.col("blocks") > 1).alias("spread"), "copies", "u", "lo", "o", seg)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import string
 
 import brute
 import pytest
@@ -44,6 +46,41 @@ def test_small_blocks_and_spread_groups(spark, length, gram, block_bytes, group_
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) == expected, i
 
 
+@pytest.mark.parametrize("spread", [True, False])
+def test_blocks_and_batches_are_bounded(monkeypatch, spread):
+    rng = random.Random(3)
+    edge = lambda: rng.randbytes(2) + b"edge" * 10
+    segs = sorted({edge()[::-1] + b"passage " * 27 + edge() for _ in range(700)})
+    rows = [{"a": 1, "salt": 0, "spread": spread, "copies": 1, "u": u, "lo": 0, "o": 42, "seg": s} for u, s in enumerate(segs)]
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sizes.append(len(text)) or sort(text))
+    monkeypatch.setattr(suffix_dedup, "_BATCH", 1000, raising=False)
+    found = list(suffix_dedup._sort_blocks(200, 1 << 14)(iter([suffix_dedup.pa.RecordBatch.from_pylist(rows)])))
+    assert len(sizes) > 3 and max(sizes) < (1 << 14) + 400 and max(b.num_rows for b in found) <= 1000
+
+
+def test_one_anchor_beyond_a_group_at_the_default_parameters(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choices(string.ascii_letters, k=300))
+    edge = lambda: "".join(rng.choices(string.ascii_letters, k=140))
+    edges = [(edge(), edge()) for _ in range(31_000)]
+    docs = spark.createDataFrame([(i, a + passage + b) for i, (a, b) in enumerate(edges)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(docs).collect()}
+
+    def reach(parts):
+        """For each string the longest beginning that another one has too."""
+        order = sorted(range(len(parts)), key=parts.__getitem__)
+        out = [0] * len(parts)
+        for x, y in zip(order, order[1:], strict=False):
+            k = len(os.path.commonprefix([parts[x], parts[y]]))
+            out[x], out[y] = max(out[x], k), max(out[y], k)
+        return out
+
+    left, right = reach([a[::-1] for a, _ in edges]), reach([b for _, b in edges])
+    for i, ((a, b), x, y) in enumerate(zip(edges, left, right, strict=True)):
+        assert found[i] == (300 + x + y, 1, a[: 140 - x] + b[y:])
+
+
 def test_pieces_of_a_long_text_agree(monkeypatch):
     raw = " ".join(_texts(1)).encode()
     whole = suffix_dedup.anchors(raw)
