@@ -105,8 +105,14 @@ def _counts(docs: DataFrame, text: str, units, what: str) -> DataFrame:
 
 
 def _top(counts: DataFrame, limit: int) -> list[bytes]:
-    """At most limit units, the most frequent first."""
-    return [bytes(r["unit"]) for r in counts.orderBy(F.desc("n"), "unit").limit(limit).collect()]
+    """The most frequent units, limit at most: whole classes of like counts, so that no task sends more than those."""
+    counts = stored(counts.withColumn("class", F.floor(F.log2("n") * 16)), "counts")
+    room, cut = limit, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("units")).orderBy(F.desc("class")).collect():  # 16 classes for each doubling
+        if (room := room - r["units"]) < 0:
+            break
+        cut = r["class"]
+    return [] if cut is None else [bytes(r["unit"]) for r in counts.filter(F.col("class") >= cut).orderBy("unit").collect()]
 
 
 def vocabulary(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> Vocabulary:
