@@ -13,9 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, measures
 from . import skew
+from .skew import attach
 from .rollup import COMMIT
 
 # feature -> SQL over the file columns
@@ -131,6 +133,69 @@ def entropy_by_commit(
     return listed.fillna(0, ["total_files", "total_sloc"]).fillna(0.0, ["entropy"])
 
 
+# --- the score of a commit as a state that files can join and leave -------------------------
+
+_BOUNDS = [f"_{name}_{end}" for name in _FEATURES for end in ("low", "high")]
+_TERMS = ["total_files", "total_sloc", "n", "t", "x"]
+
+
+def state_schema() -> T.StructType:
+    """(repo, commit_hash), the files and lines, the active files n with T and X, and the range of every feature."""
+    kinds = [T.StringType()] * len(COMMIT) + [T.LongType()] * 3 + [T.DoubleType()] * (2 + len(_BOUNDS))
+    return T.StructType([T.StructField(c, k) for c, k in zip([*COMMIT, *_TERMS, *_BOUNDS], kinds, strict=True)])
+
+
+def _terms(sign: str = "1") -> list[Column]:
+    """The sums over scored files, each counted ``sign`` times (-1: taken out)."""
+    return [
+        F.expr(f"cast(sum({sign}) as bigint) as total_files"),
+        F.expr(f"cast(sum({sign} * sloc) as bigint) as total_sloc"),
+        F.expr(f"cast(sum(if({_ACTIVE}, {sign}, 0)) as bigint) as n"),
+        F.expr(f"sum(if({_ACTIVE}, {sign} * badness, 0d)) as t"),
+        F.expr(f"sum(if({_ACTIVE}, {sign} * badness * log2(badness), 0d)) as x"),
+    ]
+
+
+def state_of(files: DataFrame) -> DataFrame:
+    """The state of every commit out of all its files."""
+    ranged = _with_ranges(files, COMMIT).selectExpr("*", f"{_BADNESS} as badness")
+    bounds = [F.first(c).alias(c) for c in _BOUNDS]
+    return ranged.groupBy(*COMMIT).agg(*_terms(), *bounds).select(*[f.name for f in state_schema()])
+
+
+def state_judged(states: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The states of the commits that files ``old`` leave and files ``new`` join, with ``rescored``.
+
+    Where a new value lies outside a range, or an old one lies on its edge and
+    is not there any more, only all files of the commit can tell: such commits,
+    and those without a state, are ``rescored``.
+    """
+    sides = {}
+    for side, files in (("l", old), ("j", new)):
+        sides[side] = feature_ranges(files).select(*COMMIT, *[F.col(c).alias(f"{side}{c}") for c in _BOUNDS])
+    beside = sides["j"].join(sides["l"], list(COMMIT), "left").join(states, list(COMMIT), "left")
+    lows, highs = [c for c in _BOUNDS if c.endswith("low")], [c for c in _BOUNDS if c.endswith("high")]
+    out_of = [f"j{c} < {c} or (l{c} <= {c} and j{c} > {c})" for c in lows] + [f"j{c} > {c} or (l{c} >= {c} and j{c} < {c})" for c in highs]
+    moved = " or ".join(f"coalesce({c}, false)" for c in out_of)
+    return beside.withColumn("rescored", F.expr(f"total_files is null or {moved}")).select(*state_schema().fieldNames(), "rescored")
+
+
+def state_moved(judged: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The states of the commits that are not ``rescored`` once files ``old`` have left and ``new`` have joined."""
+    still = judged.where("not rescored").drop("rescored")
+    parts = [(new, 1), (old, -1)]
+    files = [f.select("sloc", *COMMIT, "cc", "smells_high", "smells_medium", "smells_low", "coupling", "mi", F.lit(sign).alias("_sign")) for f, sign in parts]
+    scored = attach(files[0].unionByName(files[1]), still.select(*COMMIT, *_BOUNDS), COMMIT).selectExpr("*", f"{_BADNESS} as badness")
+    changes = scored.groupBy(*COMMIT).agg(*_terms("_sign"))
+    return changes.unionByName(still.select(*COMMIT, *_TERMS)).groupBy(*COMMIT).agg(*[F.sum(c).alias(c) for c in _TERMS]).join(
+        still.drop(*_TERMS), list(COMMIT)
+    ).select(*state_schema().fieldNames())
+
+
+def entropy_of_state(states: DataFrame) -> DataFrame:
+    return states.selectExpr(*COMMIT, "total_files", "total_sloc", f"{_ENTROPY} as entropy")
+
+
 def entropy_by_commit_kind(files: DataFrame) -> DataFrame:
     """Every kind scored on its own files only: ranges are taken inside the kind."""
     return entropy_by_commit(files, (*COMMIT, "kind"))

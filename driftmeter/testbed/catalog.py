@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from ..operators import diff, history, maintenance, ranking, rollup, scope, scoring, snapshots
 from ..plans import compare, report
 from ..sources import function_csv, patterns, snapshot_json, source_tree, tables
-from ..streaming.incremental import IncrementalScan
+from ..sources.tables import stored_copy
+from ..streaming import incremental
 from . import trees, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,14 +653,17 @@ def _(spark, sf_dir):
 
 @query("incremental_scan_stream")
 def _(spark, sf_dir):
+    # line items arrive in files that split every commit, one file in a batch
     root = tables.work_folder(spark)
-    classified = views.classified_files(spark, sf_dir)
     lineitem = views.table(spark, sf_dir, "lineitem")
-    raw = views.functions_by_id(
-        spark.readStream.schema(lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    )
+    trees.write_in_files(lineitem, f"{root}/arriving", 2)
+    classified = stored_copy(views.classified_files(spark, sf_dir))
+    rows = incremental.read_rows(spark, f"{root}/arriving", lineitem.schema, files_per_batch=1)
+    raw = views.functions_by_id(rows, *incremental.IDENTITY)
     raw = raw.withColumn("commit_hash", F.date_format("month", "yyyy-MM"))
-    scan = IncrementalScan(f"{root}/store", lambda batch: views.to_file_metrics(batch, classified))
+    scan = incremental.IncrementalScan(
+        f"{root}/store", lambda batch: views.to_file_metrics(batch, classified), file=["file_id"], identity=incremental.IDENTITY, buckets=8
+    )
     scan.start(raw, f"{root}/checkpoint").awaitTermination()
     return publish(scan.commit_metrics(spark))
 

@@ -28,6 +28,11 @@ def write_tree(source_files: DataFrame, root: str) -> None:
     source_files.select(full, "content").mapInPandas(write, "written long").agg(F.sum("written")).collect()
 
 
+def write_in_files(rows: DataFrame, folder: str, files: int) -> None:
+    """Rows dealt in turn to so many Parquet files, whatever commit they belong to."""
+    rows.repartition(files).write.parquet(folder)
+
+
 def write_function_csv(functions: DataFrame, folder: str, root: str) -> None:
     """Function metrics as CSV text; every seventh line has a broken number, every eleventh too few fields."""
     n = F.col("nloc")

@@ -62,8 +62,8 @@ def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def functions_by_id(lineitem: DataFrame) -> DataFrame:
-    """lineitem -> one function per row; file and commit are named by narrow keys."""
+def functions_by_id(lineitem: DataFrame, *kept: str) -> DataFrame:
+    """lineitem -> one function per row; file and commit are named by narrow keys.  Columns ``kept`` stay beside."""
     return lineitem.select(
         F.col("l_returnflag").alias("repo"),
         F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month"),
@@ -71,6 +71,7 @@ def functions_by_id(lineitem: DataFrame) -> DataFrame:
         F.col("l_quantity").alias("ccn"),
         F.col("l_quantity").cast("int").alias("nloc"),
         F.col("l_suppkey").alias("import"),
+        *kept,
     )
 
 
