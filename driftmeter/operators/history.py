@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, measures
+from .ancestry import settle
 from .skew import attach, keyed, with_carry
 
 ORDER = ("ts", "commit_hash")
@@ -50,14 +51,31 @@ def number_commits(commits: DataFrame, unit: str = "hour") -> DataFrame:
     return rows.select(*commits.columns, _position().alias("commit_seq"), "commit_count")
 
 
+def in_graph_order(commits: DataFrame) -> DataFrame:
+    """Commits whose ``ts`` puts no commit before its parents, and their own time as ``_time``.
+
+    Tables without ``parents`` keep their times.
+    """
+    if "parents" not in commits.columns:
+        return commits.withColumn("_time", F.col("ts"))
+    return settle(commits).withColumn("_time", F.col("ts")).withColumn("ts", F.col("settled")).drop("settled")
+
+
+def own_time(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.col("_time")).drop("_time")
+
+
 def commits_chronological(commits: DataFrame) -> DataFrame:
-    return number_commits(commits).drop("commit_count").orderBy("repo", "commit_seq")
+    """Oldest first, numbered; no commit before its parents, whatever its clock said."""
+    return own_time(number_commits(in_graph_order(commits))).drop("commit_count").orderBy("repo", "commit_seq")
 
 
 def head_commit(commits: DataFrame) -> DataFrame:
-    """Newest commit of every repository."""
-    others = [c for c in commits.columns if c != "repo"]
-    newest = F.max_by(F.struct(*others), F.struct(*ORDER)).alias("_head")
+    """Newest commit of every repository: the last in the order of ``commits_chronological``."""
+    columns, commits = commits.columns, in_graph_order(commits)
+    others = [c for c in columns if c not in ("repo", "ts")]
+    newest = F.max_by(F.struct(*others, F.col("_time").alias("ts")), F.struct(*ORDER)).alias("_head")
+    others = [c for c in columns if c != "repo"]
     return commits.groupBy("repo").agg(newest).select("repo", *[F.col(f"_head.{c}").alias(c) for c in others])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths
-from .history import ORDER, add_chunk
+from .history import ORDER, add_chunk, in_graph_order, own_time
 from .skew import keyed, with_carry
 
 
@@ -67,11 +67,11 @@ def checkpoint_commits(commits: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def commits_since(commits: DataFrame, commit_hash: str) -> DataFrame:
-    """History from a commit on, inclusive, in each repository that has it."""
+    """History from a commit on, inclusive, in each repository that has it, in the order of ``commits_chronological``."""
     position = F.struct(*ORDER)
     start = F.max(F.when(F.col("commit_hash") == commit_hash, position))
-    rows = with_carry(add_chunk(commits), ["repo"], "_chunk", {"_start": (start, F.max, "all")})
-    return rows.where(position >= F.col("_start")).select(*commits.columns)
+    rows = with_carry(add_chunk(in_graph_order(commits)), ["repo"], "_chunk", {"_start": (start, F.max, "all")})
+    return own_time(rows.where(position >= F.col("_start"))).select(*commits.columns)
 
 
 def commits_with_prefix(commits: DataFrame, prefix: str | None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import number_commits
+from ..sources.tables import stored_copy
+from . import ancestry
 from .rollup import COMMIT
 from .skew import attach, keyed, with_carry
 
@@ -13,63 +14,87 @@ from .skew import attach, keyed, with_carry
 BLOCK = 1024
 
 
-def file_versions(changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """From a change log to (repo, path, content_hash, first_seq, last_seq) per version of a file.
+def line_versions(changes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Versions of files along first-parent lines: (repo, line, path, content_hash, first_place, last_place, is_deleted,
+    old_hash, changed).
 
-    ``changes`` holds (repo, commit_hash, path, content_hash, is_deleted), one
-    row per file a commit touched.  A version lives until the commit before the
-    next change of the file, the last one until the newest commit.  The table is
-    as small as the change log: store it and unfold what is needed.
+    ``lines`` comes from ``ancestry.lines``.  A line starts with the files of the
+    commit it forks from, at place 0; lines are filled in by depth, so that
+    commit is known by then.  A version lives until the place before the file's
+    next change on the line.  ``old_hash`` is what the file was before, and
+    ``changed`` is false for the files a line starts with.
     """
-    known = number_commits(commits.select("repo", "commit_hash", "ts"))
-    logged = keyed(changes, COMMIT)
-    placed = attach(logged, known.select(*COMMIT, "commit_seq", "commit_count"), COMMIT)
-    # a file changed in most commits is cut into blocks; each hands its first change to the one before
-    blocked = placed.withColumn("_block", -F.floor(F.col("commit_seq") / BLOCK))
-    rows = with_carry(
-        blocked, ["repo", "path"], "_block", {"_next_block": (F.min("commit_seq"), F.last, "before")}
-    )
-    following = F.lead("commit_seq").over(Window.partitionBy("repo", "path", "_block").orderBy("commit_seq"))
-    next_change = F.coalesce(following, F.col("_next_block"), F.col("commit_count") + 1)
-    return rows.select(
-        "repo",
-        "path",
-        "content_hash",
-        "is_deleted",
-        F.col("commit_seq").alias("first_seq"),
-        (next_change - 1).alias("last_seq"),
-    ).where(~F.col("is_deleted")).drop("is_deleted")
-
-
-def unfold_versions(versions: DataFrame, commits: DataFrame) -> DataFrame:
+    logged = changes.join(lines, list(COMMIT)).select("repo", "line", "depth", "place", "path", "content_hash", "is_deleted")
+    ends = stored_copy(lines.groupBy("repo", "line", "fork", "depth").agg(F.max("place").alias("_length")))
+    found, depth, start = None, 0, None
+    while not ends.where(F.col("depth") == depth).isEmpty():
+        rows = logged.where(F.col("depth") == depth).drop("depth")
+        if start is not None:
+            rows = rows.unionByName(start)
+        level = stored_copy(_placed_versions(rows, ends))
+        found = level if found is None else found.unionByName(level)
+        # what the lines that fork from this level start with
+        forks = ends.where(F.col("depth") == depth + 1).select("repo", F.col("line").alias("_into"), F.col("fork").alias("commit_hash"))
+        forks = forks.join(lines.select(*COMMIT, "line", F.col("place").alias("_place")), list(COMMIT)).drop("commit_hash")
+        here = level.join(forks, ["repo", "line"]).where("not is_deleted and first_place <= _place and _place <= last_place")
+        zero = F.lit(0).cast("long").alias("place")
+        start = here.select("repo", F.col("_into").alias("line"), zero, "path", "content_hash", F.lit(False).alias("is_deleted"))
+        depth += 1
+    return _placed_versions(logged.drop("depth"), ends) if found is None else found
+
+
+def _placed_versions(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    # a file changed in most commits of a line is cut into blocks; each hands its first and last change on
+    keys = ["repo", "line", "path"]
+    blocked = rows.withColumn("_block", F.floor(F.col("place") / BLOCK))
+    late = blocked.withColumn("_back", -F.col("_block"))
+    value = F.struct("content_hash", "is_deleted")
+    ahead = with_carry(late, keys, "_back", {"_next": (F.min("place"), F.last, "before")}).drop("_back")
+    both = with_carry(ahead, keys, "_block", {"_last": (F.max_by(value, "place"), F.last, "before")})
+    order = Window.partitionBy(*keys, "_block").orderBy("place")
+    before = F.coalesce(F.lag(value).over(order), F.col("_last"))
+    after = F.coalesce(F.lead("place").over(order), F.col("_next"))
+    joined = both.withColumn("_before", before).withColumn("_after", after).join(ends.select("repo", "line", "_length"), ["repo", "line"])
+    return joined.select(
+        *keys, "content_hash", F.col("place").alias("first_place"), F.coalesce(F.col("_after") - 1, F.col("_length")).alias("last_place"), "is_deleted",
+        F.when(~F.col("_before.is_deleted"), F.col("_before.content_hash")).alias("old_hash"), (F.col("place") > 0).alias("changed"),
+    )
+
+
+def snapshot_at_commit(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Every file present at every commit: (repo, commit_hash, path, content_hash).
 
-    Versions unfold block by block and take the commit hashes of a block from
-    one array, so the join is an equality on (repo, block) over versions, not a
-    range join over the unfolded rows.
+    ``changes`` holds (repo, commit_hash, path, content_hash, is_deleted), one
+    row per file that differs from the commit's first parent.  A commit has what
+    its nearest ancestor by first parents that changed the file left there.
     """
-    numbered = number_commits(commits.select("repo", "commit_hash", "ts"))
-    block_of = F.floor((F.col("commit_seq") - 1) / BLOCK).alias("_block")
-    # commit_seq is dense, so a block never holds more than BLOCK hashes
-    hashes = numbered.groupBy("repo", block_of).agg(
-        F.sort_array(F.collect_list(F.struct("commit_seq", "commit_hash")))["commit_hash"].alias("_commits")
-    )
-    first, last = F.col("first_seq"), F.col("last_seq")
-    pieces = versions.withColumn(
-        "_block", F.explode(F.sequence(F.floor((first - 1) / BLOCK), F.floor((last - 1) / BLOCK)))
-    )
-    keys = ["repo", "_block"]
-    joined = attach(pieces, hashes, keys)
-    start = F.greatest(first, F.col("_block") * BLOCK + 1)
-    stop = F.least(last, (F.col("_block") + 1) * BLOCK)
-    offset = (start - F.col("_block") * BLOCK).cast("int")
-    span = F.slice(F.col("_commits"), offset, (stop - start + 1).cast("int"))
+    lines = stored_copy(ancestry.lines(commits))
+    versions = line_versions(changes, lines).where("not is_deleted and last_place > 0")
+    # lines unfold like repositories: places are dense, and every place has one commit
+    block_of = F.floor((F.col("place") - 1) / BLOCK).alias("_block")
+    hashes = lines.groupBy("repo", "line", block_of).agg(F.sort_array(F.collect_list(F.struct("place", "commit_hash")))["commit_hash"].alias("_commits"))
+    first, last = F.greatest("first_place", F.lit(1)), F.col("last_place")
+    pieces = versions.withColumn("_block", F.explode(F.sequence(F.floor((first - 1) / BLOCK), F.floor((last - 1) / BLOCK))))
+    joined = attach(pieces, hashes, ["repo", "line", "_block"])
+    start, stop = F.greatest(first, F.col("_block") * BLOCK + 1), F.least(last, (F.col("_block") + 1) * BLOCK)
+    span = F.slice(F.col("_commits"), (start - F.col("_block") * BLOCK).cast("int"), (stop - start + 1).cast("int"))
     return joined.select("repo", F.explode(span).alias("commit_hash"), "path", "content_hash")
 
 
-def snapshot_at_commit(changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """Both steps at once, for change logs small enough not to store the versions."""
-    return unfold_versions(file_versions(changes, commits), commits)
+def changed_in_log(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Like ``changed_files``, out of a change log: every change is held against the version before it.
+
+    No snapshot is unfolded; rows that leave a file as it was are no change.
+    """
+    lines = stored_copy(ancestry.lines(commits))
+    versions = line_versions(changes, lines).where("changed")
+    places = lines.select("repo", "line", F.col("place").alias("first_place"), "commit_hash", (F.col("fork").isNull() & (F.col("place") == 1)).alias("_root"))
+    new, old = F.when(~F.col("is_deleted"), F.col("content_hash")), F.col("old_hash")
+    rows = versions.join(places, ["repo", "line", "first_place"]).withColumn("_new", new)
+    differ = rows.where(~F.col("_root") & ~F.col("_new").eqNullSafe(old))
+    change = F.when(old.isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("modified")
+    roots = rows.where(F.col("_root") & F.col("_new").isNotNull()).select(*COMMIT, F.substring_index("path", "/", 1).alias("path")).distinct()
+    return differ.select(*COMMIT, "path", change.alias("change")).unionByName(roots.withColumn("change", F.lit("root")))
 
 
 def changed_files(manifests: DataFrame, commits: DataFrame) -> DataFrame:

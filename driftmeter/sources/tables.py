@@ -86,7 +86,8 @@ class MetricsStore:
         return rows.where(wanted).select(*schema.names)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Append the rows whose key is not stored yet."""
+        """Append the rows whose key is not stored yet.  Rows are computed once, for their buckets and for the write."""
+        rows = stored_copy(rows)
         self._write(table, maintenance.insert_if_absent(rows, self.stored_beside(table, rows), KEYS[table]))
 
     def stored_beside(self, table: str, rows: DataFrame) -> DataFrame:

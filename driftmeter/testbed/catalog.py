@@ -224,6 +224,12 @@ def _(spark, sf_dir):
     return publish(scope.commits_since(views.commit_table(spark, sf_dir), views.START), *_KEYS, "ts")
 
 
+@query("commits_since_branched")
+def _(spark, sf_dir):
+    branched = tables.stored_copy(views.branched_commits(spark, sf_dir))
+    return publish(scope.commits_since(branched, views.START), *_KEYS, "ts")
+
+
 @query("commit_prefix_filter")
 def _(spark, sf_dir):
     return publish(scope.commits_with_prefix(views.commit_metrics(spark, sf_dir), "1996-"))
@@ -525,20 +531,24 @@ def _(spark, sf_dir):
     return publish(diff.delta_contributors(views.file_metrics(spark, sf_dir), numbered))
 
 
-def _snapshots(spark, sf_dir, commits: DataFrame) -> DataFrame:
-    versions = tables.stored_copy(snapshots.file_versions(views.changes(spark, sf_dir), commits))
-    return snapshots.unfold_versions(versions, commits)
+@query("changed_files")
+def _(spark, sf_dir):
+    return publish(snapshots.changed_in_log(views.changes(spark, sf_dir), tables.stored_copy(views.commit_table(spark, sf_dir))))
 
 
-@query("changed_files")
+@query("changed_files_branched")
 def _(spark, sf_dir):
-    commits = tables.stored_copy(views.commit_table(spark, sf_dir))
-    return publish(snapshots.changed_files(tables.stored_copy(_snapshots(spark, sf_dir, commits)), commits))
+    return publish(snapshots.changed_in_log(views.changes(spark, sf_dir), tables.stored_copy(views.branched_commits(spark, sf_dir))))
 
 
 @query("snapshot_at_commit")
 def _(spark, sf_dir):
-    return publish(_snapshots(spark, sf_dir, tables.stored_copy(views.commit_table(spark, sf_dir))))
+    return publish(snapshots.snapshot_at_commit(views.changes(spark, sf_dir), tables.stored_copy(views.commit_table(spark, sf_dir))))
+
+
+@query("snapshot_at_commit_branched")
+def _(spark, sf_dir):
+    return publish(snapshots.snapshot_at_commit(views.changes(spark, sf_dir), tables.stored_copy(views.branched_commits(spark, sf_dir))))
 
 
 # --- sorting and top-k -------------------------------------------------------------------
@@ -603,6 +613,19 @@ def _(spark, sf_dir):
     return publish(history.commits_chronological(views.commit_table(spark, sf_dir)), *_KEYS, "ts", "commit_seq")
 
 
+@query("head_commit_branched")
+def _(spark, sf_dir):
+    # half of the history, whose last commits have clocks ahead and behind
+    branched = tables.stored_copy(views.branched_commits(spark, sf_dir).where(F.col("commit_hash") < views.CURRENT))
+    return publish(history.head_commit(branched).withColumn("parents", F.size("parents")))
+
+
+@query("commits_chronological_branched")
+def _(spark, sf_dir):
+    branched = tables.stored_copy(views.branched_commits(spark, sf_dir))
+    return publish(history.commits_chronological(branched), *_KEYS, "ts", "commit_seq")
+
+
 @query("commit_table")
 def _(spark, sf_dir):
     return publish(

@@ -278,6 +278,27 @@ VIEWS: dict[str, str] = {
                 THEN substr(rest, instr(rest, ':') + 1)
               WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/') + 1) ELSE rest END AS cut
             FROM (SELECT *, replace(replace(replace(remote_url, 'git@', ''), 'https://', ''), 'http://', '') AS rest FROM v_remotes))""",
+    "v_branched": """
+      SELECT repo, commit_hash, commit_seq AS n, ts::TIMESTAMP + CASE WHEN commit_seq % 7 = 3 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END AS ts,
+        CASE WHEN commit_seq % 6 = 4 THEN commit_seq - 2 WHEN commit_seq % 6 = 0 THEN commit_seq - 3 WHEN commit_seq > 1 THEN commit_seq - 1 END AS p1,
+        CASE WHEN commit_seq % 6 = 0 THEN commit_seq - 1 END AS p2
+      FROM v_commits""",
+    "v_settled": """
+      WITH RECURSIVE walk AS (
+        SELECT repo, 1::BIGINT AS n, [epoch_us(ts)] AS at FROM v_branched WHERE n = 1
+        UNION ALL
+        SELECT b.repo, b.n, list_append(w.at, greatest(epoch_us(b.ts), w.at[b.p1] + 1, coalesce(w.at[b.p2], 0) + 1))
+        FROM walk w JOIN v_branched b ON b.repo = w.repo AND b.n = w.n + 1)
+      SELECT b.*, w.at[w.n] AS settled, row_number() OVER (PARTITION BY b.repo ORDER BY w.at[w.n], b.commit_hash) AS seq
+      FROM walk w JOIN v_branched b USING (repo, n)""",
+    "v_branched_snapshots": """
+      WITH RECURSIVE up AS (
+        SELECT repo, n, n AS above, 0 AS steps FROM v_branched
+        UNION ALL SELECT up.repo, up.n, b.p1, steps + 1 FROM up JOIN v_branched b ON b.repo = up.repo AND b.n = up.above WHERE b.p1 IS NOT NULL),
+      nearest AS (
+        SELECT up.repo, up.n, c.path, arg_min(c.content_hash, steps) AS content_hash, arg_min(c.is_deleted, steps) AS is_deleted
+        FROM up JOIN v_changes c ON c.repo = up.repo AND c.commit_seq = up.above GROUP BY up.repo, up.n, c.path)
+      SELECT b.repo, b.commit_hash, path, content_hash FROM nearest JOIN v_branched b USING (repo, n) WHERE NOT is_deleted""",
     "v_changes": """
       SELECT repo, commit_hash, path, commit_seq, 'v' || sum(nloc) % 10 AS content_hash, sum(nloc) % 7 = 0 AS is_deleted
       FROM v_functions JOIN v_commits USING (repo, commit_hash) GROUP BY repo, commit_hash, path, commit_seq""",
@@ -612,6 +633,25 @@ STATEMENTS: dict[str, str] = {
       WHERE m.content_hash IS DISTINCT FROM o.content_hash
       UNION ALL SELECT DISTINCT repo, commit_hash, string_split(path, '/')[1], 'root' FROM mine WHERE parent IS NULL""",
     "snapshot_at_commit": "SELECT * FROM v_snapshots",
+    "snapshot_at_commit_branched": "SELECT * FROM v_branched_snapshots",
+    "changed_files_branched": """
+      WITH linked AS (SELECT b.repo, b.commit_hash, p.commit_hash AS parent FROM v_branched b LEFT JOIN v_branched p ON p.repo = b.repo AND p.n = b.p1),
+        mine AS (SELECT s.*, parent FROM v_branched_snapshots s JOIN linked USING (repo, commit_hash)),
+        theirs AS (SELECT l.repo, l.commit_hash, s.path, s.content_hash
+                   FROM linked l JOIN v_branched_snapshots s ON s.repo = l.repo AND s.commit_hash = l.parent)
+      SELECT repo, commit_hash, path, CASE WHEN o.content_hash IS NULL THEN 'added' WHEN m.content_hash IS NULL THEN 'deleted'
+        ELSE 'modified' END AS change
+      FROM (SELECT * FROM mine WHERE parent IS NOT NULL) m FULL JOIN theirs o USING (repo, commit_hash, path)
+      WHERE m.content_hash IS DISTINCT FROM o.content_hash
+      UNION ALL SELECT DISTINCT repo, commit_hash, string_split(path, '/')[1], 'root' FROM mine WHERE parent IS NULL""",
+    "commits_chronological_branched": "SELECT repo, commit_hash, strftime(ts, '%Y-%m-%d') AS ts, seq AS commit_seq FROM v_settled",
+    "commits_since_branched": f"""
+      SELECT repo, commit_hash, strftime(ts, '%Y-%m-%d') AS ts FROM v_settled c
+      WHERE seq >= (SELECT seq FROM v_settled s WHERE s.repo = c.repo AND s.commit_hash = '{views.START}')""",
+    "head_commit_branched": f"""
+      SELECT repo, commit_hash, strftime(ts, '%Y-%m-%d') AS ts, ((p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT)::BIGINT AS parents
+      FROM v_settled WHERE commit_hash < '{views.CURRENT}'
+      QUALIFY row_number() OVER (PARTITION BY repo ORDER BY seq DESC) = 1""",
     # sorting and top-k
     "top_large_files": _top("v_file_metrics", "sloc"),
     "top_complex_files": _top("v_file_metrics", "cc", "cc > 0", r6("cc") + " AS cc"),

@@ -148,6 +148,22 @@ def commit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits(spark, sf_dir).drop("tagged")
 
 
+def branched_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commits as a graph with side branches, some with a clock 100 days ahead.
+
+    Of every six, the third and the fourth both follow the second; the fifth
+    follows the fourth, and the sixth merges it into the third.
+    """
+    order = Window.partitionBy("repo").orderBy("commit_hash")  # months, as above
+    number, back = F.row_number().over(order), [F.lag("commit_hash", k).over(order) for k in (1, 2, 3)]
+    rows = commits(spark, sf_dir).select("repo", "commit_hash", "ts", number.alias("number"), *[c.alias(f"back{k}") for k, c in enumerate(back, 1)])
+    sixth = F.col("number") % 6
+    first = F.when(sixth == 4, F.col("back2")).when(sixth == 0, F.col("back3")).otherwise(F.col("back1"))
+    parents = F.array_compact(F.array(first, F.when(sixth == 0, F.col("back1"))))
+    ts = F.when(F.col("number") % 7 == 3, F.col("ts") + F.expr("interval 100 days")).otherwise(F.col("ts"))
+    return rows.select("repo", "commit_hash", ts.alias("ts"), parents.alias("parents"))
+
+
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = commits(spark, sf_dir).where("tagged")
     return tagged.select("repo", F.upper("commit_hash").alias("commit_hash"))
