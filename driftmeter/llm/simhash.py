@@ -3,9 +3,9 @@
 Fingerprints are cut into 16 segments of 4 bits and mapped to the vector of their segments' bit counts. The Manhattan
 distance of two such vectors never exceeds the bit distance of the fingerprints, so a grid over the vectors finds every
 link: lattice points within distance 2 share a point within distance 1 of both, hence each fingerprint is entered in its
-own grid cell and the up to 32 next to it, and only cells with two fingerprints or more go on. There the check is exact:
-within a cell a fingerprint stands for the 64-bit words of that cell that are at most one bit away from it. Two
-fingerprints differ in at most 2 bits exactly if they have such a word in common. Each word links its fingerprints to
+own grid cell and those next to it, and only cells with two fingerprints or more go on. There the check is exact:
+within a cell a fingerprint stands for the 64-bit words of that cell that are at most one bit away from it, 65 in all
+its cells together. Two fingerprints differ in at most 2 bits exactly if they have such a word in common. Each word links its fingerprints to
 the smallest of them, so a group of n near copies costs n links and never n * n.
 """
 
@@ -67,30 +67,20 @@ def bit_counts(word: Column) -> Column:
     return sum((F.shiftrightunsigned(word, k).bitwiseAND(ones) for k in (1, 2, 3)), word.bitwiseAND(ones))
 
 
-def _cells(counts: Column) -> Column:
-    """The cell and those next to it; null where a count would leave 0 to 4."""
-    at = lambda s: F.shiftrightunsigned(counts, 4 * s).bitwiseAND(F.lit(15))
-    step = lambda s: F.shiftleft(F.lit(1).cast("long"), 4 * s)
-    more = [F.when(at(s) < 4, counts + step(s)) for s in range(16)]
-    less = [F.when(at(s) > 0, counts - step(s)) for s in range(16)]
-    return F.array(counts, *more, *less)
-
-
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect exactly those within 2 bits of each other.
 
-    Not every pair is a row: those that share a word link to the smallest of them, which keeps every component.
+    Not every pair is a row: those that share a word link to the smallest of them, which keeps every component. A
+    fingerprint has 65 rows, one for each word, whatever the size of the table; dealt by cell once, they stay where they
+    are for the busy cells and for the words, as equal words lie in one cell.
     """
-    spark_one = F.lit(1).cast("long")
-    grid = prints.select("fp", F.explode(_cells(bit_counts(F.col("fp")))).alias("cell")).filter("cell is not null")
-    # dealt by cell once, for the count and the semi-join; prints are distinct, so no cell holds many of them
-    grid = grid.repartition(shuffle_partitions(prints.sparkSession), "cell")
-    busy = grid.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
-    near = grid.join(busy, "cell", "left_semi")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(spark_one, b)) for b in range(64)])
-    words = near.select("fp", "cell", F.explode(flips).alias("word")).filter(bit_counts(F.col("word")) == F.col("cell")).select("fp", "word")
-    first = words.groupBy("word").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("word", "lo")
-    pairs = words.join(first, "word").filter("fp <> lo")
+    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), b)) for b in range(64)])
+    words = prints.select("fp", F.explode(flips).alias("word")).withColumn("cell", bit_counts(F.col("word")))
+    words = words.repartition(shuffle_partitions(prints.sparkSession), "cell")
+    busy = words.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
+    near = words.join(busy, "cell", "left_semi")
+    first = near.groupBy("cell", "word").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell", "word", "lo")
+    pairs = near.join(first, ["cell", "word"]).filter("fp <> lo")
     return pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= MAX_BITS).select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
 
 
