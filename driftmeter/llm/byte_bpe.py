@@ -13,16 +13,18 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import ship
+from driftmeter.llm.common import ship, unused
 
-#: Pieces and pairs kept at most by a Python worker; more are computed again.
-CACHED_PIECES = 300_000
+#: Pieces and pairs kept at most by a task; a full table is emptied, and what is frequent comes back at once.
+CACHED_PIECES = 150_000
 CACHED_PAIRS = 400_000
+#: Texts encoded together: their Python objects are gone before the next ones come.
+TOGETHER = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,6 +39,12 @@ class Ranks:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        # how long the tokens are that end in three given bytes, the longest first; shorter tokens may end anywhere
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {tail: (*sorted(of, reverse=True), 2, 1) for tail, of in lengths.items()}
         self._pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
 
@@ -88,10 +96,15 @@ class Ranks:
                 before, left = left, l_half
             else:
                 before, right = right + 1, r_half
-        if len(self._pairs) < CACHED_PAIRS:
-            self._pairs[key] = valid
+        if len(self._pairs) >= CACHED_PAIRS:
+            self._pairs.clear()
+        self._pairs[key] = valid
         return valid
 
+    def forget(self) -> None:
+        self._pairs.clear()
+        self._halves.clear()
+
 
 class Prefixes:
     """The unique valid last token of each byte prefix of a piece."""
@@ -102,7 +115,10 @@ class Prefixes:
 
     def _last(self, raw: bytes, end: int) -> int:
         ranks, last, pairs, valid = self.ranks.ranks.get, self.last, self.ranks._pairs.get, self.ranks.valid_pair
-        for start in range(end - self.ranks.longest if end > self.ranks.longest else 0, end):  # the longest first
+        for length in self.ranks.lengths.get(raw[end - 3 : end] if end > 2 else b"", (2, 1)):  # the longest first
+            start = end - length
+            if start < 0:
+                continue
             token = ranks(raw[start:end])
             if token is not None:
                 if not start:
@@ -143,7 +159,7 @@ class Prefixes:
 
 
 class _Pieces(dict):
-    """Ids of pieces in decimal, joined by commas; what is asked for first is encoded, and kept while there is room."""
+    """Ids of pieces in decimal, joined by commas; what is asked for first is encoded and kept."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
@@ -153,7 +169,9 @@ class _Pieces(dict):
         raw = piece.encode()
         whole = self.ranks.ranks.get(raw)  # a match that is a token is that token, whatever the merges would do
         ids = str(whole) if whole is not None else ",".join(map(str, Prefixes(self.ranks, raw).ids()))
-        if len(self) < CACHED_PIECES:
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        if len(piece) <= 64:
             self[piece] = ids
         return ids
 
@@ -174,19 +192,34 @@ class Encoder:
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids.split(","))) if ids else b""
 
+    def forget(self) -> None:
+        """Frees all but the ranks: the worker may next run tasks that need the memory for something else."""
+        self._pieces.clear()
+        self.ranks.forget()
+        pa.default_memory_pool().release_unused()
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One for each worker process: what it has learnt of frequent pieces serves all its tasks."""
+    """One for each worker process: the ranks are read once."""
     key = (ranks_path, pattern)
     if key not in _encoders:
         _encoders[key] = Encoder(read_ranks(ranks_path), pattern)
     return _encoders[key]
 
 
-_TOKENS = "n_tokens long, ids string, decoded binary"
+def _coded(batches: Iterator[pa.Array], ranks_path: str, pattern: str, of, names: list[str], types: list) -> Iterator[pa.Array]:
+    """A struct array for each batch of texts: of(coder, text) gives the values of a row."""
+    coder = encoder(ranks_path, pattern)
+    for batch in batches:
+        parts = [pa.StructArray.from_arrays([pa.array([], t) for t in types], names)]
+        for at in range(0, len(batch), TOGETHER):
+            rows = [of(coder, t or "") for t in batch.slice(at, TOGETHER).to_pylist()]
+            parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names))
+        yield pa.concat_arrays(parts)
+    coder.forget()
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -196,34 +229,36 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     Null texts count as empty and give no ids. Rows are independent: nothing is shuffled, long texts are encoded whole.
     The file of ranks is read by each worker from ranks_path, which must exist on every executor.
     """
-
     ship(docs.sparkSession)
 
-    @F.pandas_udf(_TOKENS)
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = encoder(ranks_path, pattern)
-        for batch in batches:
-            found = [coder.encode(t or "") for t in batch]
-            yield pd.DataFrame({"n_tokens": [n for n, _ in found], "ids": [i for _, i in found], "decoded": [coder.decode(i) for _, i in found]})
+    def row(coder: Encoder, text: str) -> tuple:
+        n, ids = coder.encode(text)
+        return n, ids, coder.decode(ids)
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    return docs.select(*rest, tokens(F.col(text)).alias("_t")).select(*rest, "_t.n_tokens", "_t.ids", "_t.decoded")
+    @F.arrow_udf("n_tokens long, ids string, decoded binary")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _coded(batches, ranks_path, pattern, row, ["n_tokens", "ids", "decoded"], [pa.int64(), pa.string(), pa.binary()])
+
+    return _with(docs, tokens(F.col(text)), ["n_tokens", "ids", "decoded"])
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with n_tokens and the lowercase hex SHA-256 of its ids (ids_sha256) and of the decoded bytes."""
-
     ship(docs.sparkSession)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = encoder(ranks_path, pattern)
-        for batch in batches:
-            out = []
-            for t in batch:
-                n, ids = coder.encode(t or "")
-                out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*rest, hashed(F.col(text)).alias("_t")).select(*rest, "_t.*")
+    def row(coder: Encoder, text: str) -> tuple:
+        n, ids = coder.encode(text)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _coded(batches, ranks_path, pattern, row, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
+
+    return _with(docs, hashed(F.col(text)), ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _with(docs: DataFrame, coded, names: list[str]) -> DataFrame:
+    rest = [c for c in docs.columns if c not in names]
+    held = unused(docs.columns, "coded")
+    fields = [F.col(f"`{held}`.{n}").alias(n) for n in names]
+    return docs.select(*[F.col(f"`{c}`") for c in rest], coded.alias(held)).select(*[F.col(f"`{c}`") for c in rest], *fields)
