@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import ship, stored
+from driftmeter.llm.common import ship, stored, unused
 
 #: Weights of the sources in the order of their names (code points), null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -224,14 +224,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """
     source, id_col = options.get("source", "source"), options.get("id_col", "doc_id")
     _, _, pieces = mix(docs, text, **options)
-    taken = pieces.groupBy("row", "copy", "epoch").agg(F.collect_list(F.struct("from_word", "words")).alias("_ranges"))
-    whole = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(source), F.col(text)))
+    taken = pieces.groupBy("row", "copy", "epoch").agg(F.collect_list(F.struct("from_word", "words")).alias("ranges"))
+    row, held, ranges = (unused(docs.columns, name) for name in ("_row", "_held", "_ranges"))
+    taken = taken.select(F.col("row").alias(held), F.col("ranges").alias(ranges))
+    whole = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(source), F.col(text)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, [(r["from_word"], r["words"]) for r in at]) for t, at in zip(texts, ranges, strict=True)], dtype=object)
 
-    found = whole.dropDuplicates(["_row"]).join(taken, F.col("_row") == taken["row"]).withColumn(text, cut(F.col(text), F.col("_ranges")))
+    found = whole.dropDuplicates([row]).join(taken, F.col(row) == taken[held]).withColumn(text, cut(F.col(text), F.col(ranges)))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import ship, shuffle_partitions, stored
+from driftmeter.llm.common import ship, shuffle_partitions, stored, unused
 
 #: Elements of HTML that begin and end blocks.
 BLOCKS = frozenset(
@@ -265,17 +265,18 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     ship(pages.sparkSession)
     rows = pages.drop("text") if "text" not in (html, url) else pages
     host, path = host_and_path(F.col(url))
-    keyed = rows.withColumn("_row", F.xxhash64(F.col(url), F.col(html)))
+    own, row, shared, main = (unused(pages.columns, name) for name in ("_own", "_row", "_lines", "_main"))
+    keyed = rows.withColumn(own, F.xxhash64(F.col(url), F.col(html)))
 
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([[h - (1 << 63) for h in _hashes(blocks(x))] for x in batch])
 
-    lines = keyed.select(F.col("_row").alias("row"), host.alias("host"), path.alias("path"), F.col(html).alias("h")).dropDuplicates(["row"])
+    lines = keyed.select(F.col(own).alias("row"), host.alias("host"), path.alias("path"), F.col(html).alias("h")).dropDuplicates(["row"])
     lines = stored(lines.select("row", "host", "path", hashed("h").alias("lines")), "page-lines")
     pairs = neighbours(lines.select("row", "host", "path"))
-    other = pairs.join(lines.select(F.col("row").alias("other"), "lines"), "other", "left").select("row", "lines")
+    other = pairs.join(lines.select(F.col("row").alias("other"), "lines"), "other", "left").select(F.col("row").alias(row), F.col("lines").alias(shared))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -286,6 +287,6 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
                 out.append(main_text(page, [h - (1 << 63) for h in _hashes(page)], [] if o is None else list(o)))
             yield pd.Series(out, dtype=object)
 
-    found = keyed.join(other, keyed["_row"] == other["row"], "left").withColumn("_text", text(F.col(html), F.col("lines")))
+    found = keyed.join(other, keyed[own] == other[row], "left").withColumn(main, text(F.col(html), F.col(shared)))
     rest = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
-    return found.select(*rest, F.col("_text").alias("text"))
+    return found.select(*rest, F.col(main).alias("text"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import stored
+from driftmeter.llm.common import stored, unused
 
 #: White space that parts words.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -92,7 +92,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda line: F.regexp_like(line, F.lit(f"[^{SPACE[1:]}")))
     found = _let(words, lambda w: _let(lines, lambda at: counts(w, at)))
     # the optimizer leaves filters above a row number, so that they read the counts and don't count once more
-    return docs.select(*rest, found.alias("_m"), F.monotonically_increasing_id().alias("_at")).select(*rest, "_m.*", "_at")
+    held, at = unused(docs.columns, "_m"), unused(docs.columns, "_at")
+    return docs.select(*rest, found.alias(held), F.monotonically_increasing_id().alias(at)).select(*rest, f"`{held}`.*", f"`{at}`")
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -226,6 +227,8 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     verdict. Columns of docs that have the name of one of the added ones are replaced.
     """
     rules = learned(docs, labels, text, id_col)
-    found = measured(docs.drop(*({"base_failed", "rule", "kept"} - {text})), text)
+    docs = docs.drop(*({"base_failed", "rule", "kept"} - {text}))
+    at = unused(docs.columns, "_at")
+    found = measured(docs, text)
     found = found.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & (F.col("_at") >= 0)).drop("_at")
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & (F.col(f"`{at}`") >= 0)).drop(at)

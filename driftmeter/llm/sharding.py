@@ -60,6 +60,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "
     """
     ship(docs.sparkSession)
     docs = docs.drop("shard", "slot")
+    # columns keep their names behind a place, so that none is taken for one of this module's own
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    docs, text, id_col = docs.toDF(*own.values()), own[text], own[id_col]
     rows, base = _scattered(docs, text, id_col, bucket_bytes, seed)
 
     def shuffle(key: tuple, bucket: pa.Table) -> pa.Table:
@@ -74,7 +78,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "
 
     schema = StructType([*docs.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
     done = rows.join(base, "_bucket").groupBy("_bucket").applyInArrow(shuffle, schema)
-    done.write.partitionBy("shard").parquet(path)
+    # the partition column is taken out of the files, so the others may have any name
+    done.toDF(*names, "shard", "slot").write.partitionBy("shard").parquet(path)
+    schema = StructType([*[StructField(c, f.dataType) for c, f in zip(names, docs.schema.fields, strict=True)], *schema.fields[-2:]])
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

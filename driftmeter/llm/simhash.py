@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import components, ship, shuffle_partitions, stored
+from driftmeter.llm.common import components, ship, shuffle_partitions, stored, unused
 
 SEED = 42
 SHINGLE = 3
@@ -115,8 +115,9 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingl
     ship(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     whole = F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("g"))
-    rows = docs.select(*columns, whole.alias("_row"))
+    held = unused(docs.columns, "_row")
+    rows = docs.select(*columns, whole.alias(held))
     marked = stored(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text), shingle).alias("fp"), whole.alias("row")), "fingerprints")
     best = marked.join(_classes(marked).select("fp", "root"), "fp").groupBy("root")
-    chosen = best.agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("best")).select(F.col("best.row").alias("_row"))
-    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    chosen = best.agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("best")).select(F.col("best.row").alias(held))
+    return rows.join(chosen, held, "left_semi").dropDuplicates([held]).drop(held)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmeter.llm.common import bucketed, ship, shuffle_partitions, stored
+from driftmeter.llm.common import bucketed, ship, shuffle_partitions, stored, unused
 
 LENGTH = 200
 GRAM = 64
@@ -363,10 +363,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     docs = docs.drop(*({"n_bytes", "n_removed", "n_spans", "kept"} - {text}))
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    index = stored(docs.select(*rest, F.xxhash64(raw).alias("_u")), "index")
+    own, found = unused(docs.columns, "_u"), unused(docs.columns, "_text")
+    index = stored(docs.select(*rest, F.xxhash64(raw).alias(own)), "index")
     texts = docs.select(F.xxhash64(raw).alias("u"), raw.alias("raw")).groupBy("u").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     texts = bucketed(texts, "u", "texts")  # joined twice by u, so laid out by u: its texts move once
     runs = repeated_windows(texts, length, gram, block_bytes, group_bytes).groupBy("u").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     cut = texts.join(runs.hint("shuffle_hash"), "u", "left").select("u", "raw", "copies", "runs").mapInArrow(_cut(length), "u long, n_bytes long, n_removed long, n_spans long, kept binary")
-    cut = cut.withColumnRenamed("u", "_text")
-    return index.join(cut, index["_u"] == cut["_text"]).drop("_u", "_text")
+    cut = cut.withColumnRenamed("u", found)
+    return index.join(cut, index[own] == cut[found]).drop(own, found)
