@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from driftmeter.llm.common import ship, unused
 
-#: Pieces and pairs kept at most by a task; a full table is emptied, and what is frequent comes back at once.
-CACHED_PIECES = 150_000
+#: Pieces of a generation, of which a worker keeps two, and pairs that it keeps at most; a full table of pairs is emptied.
+CACHED_PIECES = 250_000
 CACHED_PAIRS = 400_000
 #: Texts encoded together: their Python objects are gone before the next ones come.
-TOGETHER = 256
+TOGETHER = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,10 +101,6 @@ class Ranks:
         self._pairs[key] = valid
         return valid
 
-    def forget(self) -> None:
-        self._pairs.clear()
-        self._halves.clear()
-
 
 class Prefixes:
     """The unique valid last token of each byte prefix of a piece."""
@@ -113,36 +109,53 @@ class Prefixes:
         self.ranks, self.raw, self.last = ranks, b"", [-1]
         self.append(raw)
 
-    def _last(self, raw: bytes, end: int) -> int:
+    def _extend(self, raw: bytes, start: int, stop: int) -> Iterator[int]:
+        """The tokens of the prefixes that are longer than start, up to stop bytes; last is read as they are added."""
         ranks, last, pairs, valid = self.ranks.ranks.get, self.last, self.ranks._pairs.get, self.ranks.valid_pair
-        for length in self.ranks.lengths.get(raw[end - 3 : end] if end > 2 else b"", (2, 1)):  # the longest first
-            start = end - length
-            if start < 0:
-                continue
-            token = ranks(raw[start:end])
-            if token is not None:
-                if not start:
+        lengths, reached = self.ranks.lengths.get, self.ranks.reached
+        for end in range(start + 1, stop + 1):
+            for length in lengths(raw[end - 3 : end] if end > 2 else b"", (2, 1)):  # the longest first
+                at = end - length
+                if at > 0:
+                    token = ranks(raw[at:end])
+                    if token is not None and ((known := pairs(last[at] << 24 | token)) or known is None and valid(last[at], token)):
+                        yield token
+                        break
+                elif not at:
+                    token = ranks(raw[:end])
                     # a token of the vocabulary that the merges never make is not valid by itself
-                    if self.ranks.reached(token):
-                        return token
-                elif (known := pairs(last[start] << 24 | token)) or known is None and valid(last[start], token):
-                    return token
-        raise ValueError("the vocabulary lacks a byte")
+                    if token is not None and reached(token):
+                        yield token
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
         raw = self.raw + more
-        for end in range(len(self.raw) + 1, len(raw) + 1):
-            self.last.append(self._last(raw, end))
+        add = self.last.append
+        for token in self._extend(raw, len(self.raw), len(raw)):
+            add(token)
         self.raw = raw
 
+    def become(self, raw: bytes) -> None:
+        """Another piece: the prefixes that it has in common with this one keep their tokens."""
+        old, same = self.raw, 0
+        for a, b in zip(old, raw, strict=False):
+            if a != b:
+                break
+            same += 1
+        del self.last[same + 1 :]
+        self.raw = old[:same]
+        self.append(raw[same:])
+
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Bytes start to stop become new. Behind them, prefixes are computed again only until as many in a row as the
         longest token has bytes keep the token they had: from there on, all keep it."""
         raw = self.raw[:start] + new + self.raw[stop:]
         old, shift, same = self.last, len(new) - (stop - start), 0
         self.last = old[: start + 1]
-        for end in range(start + 1, len(raw) + 1):
-            self.last.append(self._last(raw, end))
+        for end, token in enumerate(self._extend(raw, start, len(raw)), start + 1):
+            self.last.append(token)
             before = end - shift
             same = same + 1 if end > start + len(new) and old[before] == self.last[end] else 0
             if same >= self.ranks.longest:
@@ -158,52 +171,66 @@ class Prefixes:
         return out[::-1]
 
 
-class _Pieces(dict):
-    """Ids of pieces in decimal, joined by commas; what is asked for first is encoded and kept."""
-
-    def __init__(self, ranks: Ranks):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> str:
-        raw = piece.encode()
-        whole = self.ranks.ranks.get(raw)  # a match that is a token is that token, whatever the merges would do
-        ids = str(whole) if whole is not None else ",".join(map(str, Prefixes(self.ranks, raw).ids()))
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
-    """Texts to ids and back; the pattern's matches are encoded each for itself."""
+    """Texts to ids and back; the pattern's matches are encoded each for itself.
+
+    The pieces of some texts that are not known yet are encoded in order, so that each goes on from the prefix that it
+    shares with the one before. Pieces are kept in two generations: a full one becomes the older, and the one before that
+    goes; pieces that are asked for again move on.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = Ranks(ranks), regex.compile(pattern).findall
-        self._pieces = _Pieces(self.ranks)
+        self._pieces: dict[str, str] = {}
+        self._older: dict[str, str] = {}
         self._bytes = {str(rank): token for token, rank in ranks.items()}
 
+    def _learn(self, pieces: set[str]) -> dict[str, str]:
+        """The ids of each piece in decimal, joined by commas."""
+        known, older, ranks = self._pieces, self._older, self.ranks.ranks.get
+        found, new = {}, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                if (ids := older.get(piece)) is None:
+                    raw = piece.encode()
+                    whole = ranks(raw)  # a match that is a token is that token, whatever the merges would do
+                    if whole is None:
+                        new.append((raw, piece))
+                        continue
+                    ids = str(whole)
+                if len(piece) <= 64:
+                    known[piece] = ids
+            found[piece] = ids
+        prefixes = Prefixes(self.ranks)
+        for raw, piece in sorted(new):
+            prefixes.become(raw)
+            found[piece] = ids = ",".join(map(str, prefixes.ids()))
+            if len(piece) <= 64:
+                known[piece] = ids
+        if len(known) >= CACHED_PIECES:
+            self._older, self._pieces = known, {}
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, str]]:
+        """For each text the number of ids, and the ids in decimal, joined by commas."""
+        split = list(map(self.split, texts))
+        of = self._learn(set().union(*split)).__getitem__
+        joined = [",".join(map(of, pieces)) for pieces in split]
+        return [(ids.count(",") + 1 if ids else 0, ids) for ids in joined]
+
     def encode(self, text: str) -> tuple[int, str]:
-        """Number of ids, and the ids in decimal, joined by commas."""
-        ids = ",".join(map(self._pieces.__getitem__, self.split(text)))
-        return ids.count(",") + 1 if ids else 0, ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids.split(","))) if ids else b""
 
-    def forget(self) -> None:
-        """Frees all but the ranks: the worker may next run tasks that need the memory for something else."""
-        self._pieces.clear()
-        self.ranks.forget()
-        pa.default_memory_pool().release_unused()
-
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One for each worker process: the ranks are read once."""
+    """One for each worker process: what it has learnt of frequent pieces serves all its tasks."""
     key = (ranks_path, pattern)
     if key not in _encoders:
         _encoders[key] = Encoder(read_ranks(ranks_path), pattern)
@@ -211,15 +238,15 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
 
 
 def _coded(batches: Iterator[pa.Array], ranks_path: str, pattern: str, of, names: list[str], types: list) -> Iterator[pa.Array]:
-    """A struct array for each batch of texts: of(coder, text) gives the values of a row."""
+    """A struct array for each batch of texts: of(coder, n, ids) gives the values of a row."""
     coder = encoder(ranks_path, pattern)
     for batch in batches:
         parts = [pa.StructArray.from_arrays([pa.array([], t) for t in types], names)]
         for at in range(0, len(batch), TOGETHER):
-            rows = [of(coder, t or "") for t in batch.slice(at, TOGETHER).to_pylist()]
+            rows = [of(coder, *found) for found in coder.encode_all([t or "" for t in batch.slice(at, TOGETHER).to_pylist()])]
             parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names))
         yield pa.concat_arrays(parts)
-    coder.forget()
+    pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -231,8 +258,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     """
     ship(docs.sparkSession)
 
-    def row(coder: Encoder, text: str) -> tuple:
-        n, ids = coder.encode(text)
+    def row(coder: Encoder, n: int, ids: str) -> tuple:
         return n, ids, coder.decode(ids)
 
     @F.arrow_udf("n_tokens long, ids string, decoded binary")
@@ -246,8 +272,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     """docs with n_tokens and the lowercase hex SHA-256 of its ids (ids_sha256) and of the decoded bytes."""
     ship(docs.sparkSession)
 
-    def row(coder: Encoder, text: str) -> tuple:
-        n, ids = coder.encode(text)
+    def row(coder: Encoder, n: int, ids: str) -> tuple:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
