@@ -22,15 +22,17 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from driftmeter.llm.common import ship, shuffle_partitions, stored, work_folder
 
@@ -44,8 +46,8 @@ ESCAPE = 15
 SEGMENT = 1 << 19
 #: Ids coded or decoded together, about.
 TOGETHER = 1 << 18
-#: Texts split into words together.
-TEXTS = 1000
+#: Bytes of the texts that are split into words together, about.
+TEXT_BYTES = 4 << 20
 CACHED_WORDS = 800_000
 
 _COUNTS = np.array([n for n, _ in PACKINGS] + [0, 1], np.int64)
@@ -178,9 +180,9 @@ _LATIN = re.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u024f]+").fullmatch
 class Words:
     """Ids of texts by a tokenizer that drops white space, and so gives a text what it gives its words one by one.
 
-    Words of Latin letters are normalized and parted by the tokenizer's own pattern, many at a time. The ids of frequent
-    words and parts are kept, as bytes (32 bits each). New parts go to the tokenizer in one text; the last token of each
-    part is one that ends a word.
+    Words of Latin letters are put in lower case, which is all that the tokenizer's normalizer does to them, and parted by
+    the tokenizer's own pattern, many at a time. The ids of frequent words and parts are kept, as bytes (32 bits each). New
+    parts go to the tokenizer's model one by one, in the letters by which it shows bytes.
     """
 
     def __init__(self, path: str):
@@ -188,19 +190,31 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         rules = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
         self.parts = regex.compile(rules[0]["pattern"]["Regex"] + "| ").findall
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model.tokenize
+        self.shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.raw_ids = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.known: dict[bytes, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a binary array. Each distinct word is looked up once; the rest goes by its number."""
+        split = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
         known = self.known
-        new = list(set().union(*split).difference(known))
+        known[b""] = b""  # before the first and behind the last white space
+        new = [w for w in words if w not in known]
         for at in range(0, len(new), 50_000):
             self._learn(new[at : at + 50_000])
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        found = [known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = coded.indices.to_numpy()
+        n = sizes[number]
+        ends = np.append(0, np.cumsum(n))
+        shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(shift, n) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        out = [ids[a:b] for a, b in pairwise(cuts)]
         if len(known) > CACHED_WORDS:
             for w in new:
                 del known[w]
@@ -209,14 +223,14 @@ class Words:
     def _learn(self, new: list[bytes]) -> None:
         text = b" ".join(new).decode()
         if not _LATIN(text.replace(" ", "")):
-            # in Latin letters, the pattern means the same here as in the tokenizer; other words go to it one by one
+            # in Latin letters, pattern and lower case mean the same here as in the tokenizer; other words go to it one by one
             odd = [w for w in new if not _LATIN(w.decode())]
             self.known.update((w, self._ids(w.decode()).tobytes()) for w in odd)
             new = list(set(new).difference(odd))
             text = b" ".join(new).decode()
         if not new:
             return
-        parts = self.parts(text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
+        parts = self.parts(text.lower())
         known = self.known_parts
         known[" "] = _BETWEEN
         fresh = list(set(parts).difference(known))
@@ -234,15 +248,14 @@ class Words:
         return np.array(coded.ids, "<u4")
 
     def _encode_parts(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 10_000):
-            here = parts[at : at + 10_000]
-            ids = self._ids(" ".join(here))
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) == len(here):
-                raw = ids.tobytes()
-                self.known_parts.update((p, raw[a:b]) for p, a, b in zip(here, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
-            else:
-                self.known_parts.update((p, self._ids(p).tobytes()) for p in here)
+        if not parts:
+            return
+        lines = "\n".join(parts)
+        # ASCII letters show themselves
+        shown = parts if lines.isascii() else self.shown(lines)[0][0].split(self.shown("\n")[0][0])
+        raw = self.raw_ids
+        for part, letters in zip(parts, shown, strict=True):
+            self.known_parts[part] = b"".join([raw[token.id] for token in self.model(letters)])
 
 
 _coders: dict[str, Words] = {}
@@ -257,9 +270,11 @@ def _encode(path: str, end: int):
         for batch in batches:
             some: list[tuple[int | None, np.ndarray]] = []
             size = 0
-            for at in range(0, len(batch), TEXTS):
-                part = batch.slice(at, TEXTS)
-                for key, ids in zip(part["id"].to_pylist(), _coders[path].encode(part["raw"].to_pylist()), strict=True):
+            before = np.cumsum(pc.binary_length(batch["raw"]).fill_null(0).to_numpy().astype(np.int64)) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(batch)]
+            for at, stop in pairwise(cuts):
+                part = batch.slice(at, stop - at)
+                for key, ids in zip(part["id"].to_pylist(), _coders[path].encode(part["raw"]), strict=True):
                     some.append((key, np.concatenate([ids, last])))
                     size += len(ids)
                     if size >= TOGETHER:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -97,19 +98,27 @@ def test_selectors_pack_small_ids_densely():
 @settings(max_examples=400, deadline=None)
 def test_words_equal_library(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert words.encode([text.encode(), None])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    ids, empty = words.encode(pa.array([text.encode(), None]))
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and not len(empty)
 
 
 def test_special_tokens_are_text():
     text = "a <|endoftext|> b<|startoftext|>"
-    assert words.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode(pa.array([text.encode()]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_lower_case_is_all_that_latin_letters_need():
+    letters = [c for c in map(chr, range(0x250)) if token_files._LATIN(c)]
+    assert len(letters) == 524
+    text = "".join(a + b for a in letters for b in letters)
+    assert words.tokenizer.normalizer.normalize_str(text) == text.lower()
 
 
 def test_full_cache(monkeypatch, documents):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 50)
     held = token_files.Words(WORDS)
     for text in documents.text[:20]:
-        assert held.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert held.encode(pa.array([text.encode()]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert len(held.known) < 3000
 
 
