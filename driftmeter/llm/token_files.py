@@ -49,6 +49,8 @@ TOGETHER = 1 << 18
 #: Bytes of the texts that are split into words together, about.
 TEXT_BYTES = 4 << 20
 CACHED_WORDS = 800_000
+#: Bytes of the texts of one file, about.
+FILE_BYTES = 128 << 20
 
 _COUNTS = np.array([n for n, _ in PACKINGS] + [0, 1], np.int64)
 
@@ -289,12 +291,16 @@ def _encode(path: str, end: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "text", id_col: str = "doc_id") -> None:
     """The ids of all texts, each with the id ``end`` behind it, as files below path in ascending order of the ids.
 
-    Null texts count as empty. Rows without an id come first; equal ids are in the order of their texts. Files are parts
-    of a range sort, so the order of names is the order of documents.
+    Null texts count as empty. Rows without an id come first; rows of one id are in the order of their texts' hashes, so
+    that a range sort may deal them to several tasks. Files are parts of this sort, so the order of names is the order of
+    documents. Their number grows with the bytes of all texts, as each is later read as one row.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(shuffle_partitions(docs.sparkSession), -(-size // FILE_BYTES))
+    mixed = F.xxhash64("text")
+    dealt = rows.repartitionByRange(files, F.col("id"), mixed).sortWithinPartitions(F.col("id"), mixed, F.col("text"))
     coded = dealt.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_encode(tokenizer, end), "value binary")
     coded.select(F.col("value").cast("string")).write.text(path)  # a cast keeps the bytes; the sink writes them as they are
 

@@ -114,6 +114,19 @@ def test_lower_case_is_all_that_latin_letters_need():
     assert words.tokenizer.normalizer.normalize_str(text) == text.lower()
 
 
+def test_one_id_spreads_over_files(spark, tmp_path, monkeypatch):
+    rows = [(7, f"word{i} " * (i % 9)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)  # asks for more files than there are shuffle partitions
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_tokens(docs, path, WORDS, end=2)
+    sizes = [r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len([n for n in sizes if n]) > 20 and max(sizes) < sum(sizes) / 8
+    found = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert len(found) == 900 and {r["id"] for r in found} == {7}
+    assert sorted(r["n_tokens"] for r in found) == sorted(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_full_cache(monkeypatch, documents):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 50)
     held = token_files.Words(WORDS)
