@@ -108,6 +108,13 @@ def _(spark, sf_dir):
     return publish(trees.flatten_documents(summary))
 
 
+@query("snapshot_json_history")
+def _(spark, sf_dir):
+    folder = tables.work_folder(spark)
+    trees.write_documents(trees.year_documents(views.history(spark, sf_dir)), folder)
+    return publish(trees.document_rows(snapshot_json.read_snapshots(spark, folder)))
+
+
 @query("snapshot_json_files")
 def _(spark, sf_dir):
     snapshots = snapshot_json.parse_snapshots(trees.file_documents(views.file_metrics(spark, sf_dir)), "json")
@@ -303,6 +310,13 @@ def _(spark, sf_dir):
     return publish(rollup.severity_bands(files, scales))
 
 
+@query("delta_bands")
+def _(spark, sf_dir):
+    numbered = history.number_commits(views.commit_table(spark, sf_dir))
+    rises = diff.delta_contributors(views.file_metrics(spark, sf_dir), numbered, top=None)
+    return publish(rollup.severity_bands(rises, ["delta"]))
+
+
 @query("size_gradient_bands")
 def _(spark, sf_dir):
     return publish(rollup.size_gradient_bands(views.file_metrics(spark, sf_dir)))

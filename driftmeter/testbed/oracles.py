@@ -375,6 +375,15 @@ _VERDICT = """
        WHEN trend > 0.001 AND entropy - baseline > 0.01 THEN 'Warming'
        WHEN trend < -0.001 AND entropy - baseline <= 0 THEN 'Cooling' ELSE 'Stable' END"""
 
+_RISES = """
+  SELECT * FROM (
+    SELECT n.repo, n.commit_hash, n.path, coalesce(o.badness, 0.0) AS old_badness, n.badness AS new_badness,
+      n.badness - coalesce(o.badness, 0.0) AS delta
+    FROM (SELECT * FROM v_scored JOIN v_commits USING (repo, commit_hash)) n
+    LEFT JOIN (SELECT * FROM v_scored JOIN v_commits USING (repo, commit_hash)) o
+      ON o.repo = n.repo AND o.path = n.path AND o.commit_seq = n.commit_seq - 1
+    WHERE n.commit_seq > 1) WHERE delta > 1e-9"""
+
 _OBSERVED = """
   SELECT c.repo, c.entropy - b.entropy AS de, (c.entropy - b.entropy) / b.entropy AS rel, c.sloc - b.sloc AS ds,
     c.files - b.files AS df, t.n, t.trend, p.*
@@ -413,6 +422,17 @@ STATEMENTS: dict[str, str] = {
         CASE WHEN sloc % 7 <> 0 THEN commit_hash ELSE '' END AS first_hash,
         CASE WHEN sloc % 7 <> 0 THEN {r6('mi')} ELSE 0.0 END AS first_entropy
       FROM v_file_metrics""",
+    "snapshot_json_history": f"""
+      WITH e AS (SELECT *, repo || '_' || left(commit_hash, 4) AS document, left(commit_hash, 4)::INT AS y FROM v_history)
+      SELECT document, 'history' AS section, row_number() OVER (PARTITION BY document ORDER BY commit_hash) - 1 AS position,
+        CASE WHEN total_sloc % 3 <> 0 THEN commit_hash ELSE '' END AS name,
+        CASE WHEN total_sloc % 4 <> 0 THEN commit_hash || '-01' ELSE '' END AS date,
+        CASE WHEN total_sloc % 5 <> 0 THEN {r6('entropy')} ELSE 0.0 END AS entropy, total_files::BIGINT AS files, total_sloc::BIGINT AS sloc
+      FROM e
+      UNION ALL
+      SELECT document, CASE WHEN y % 5 <> 0 THEN 'summary' ELSE 'no summary' END, count(*), '', '',
+        CASE WHEN y % 5 <> 0 THEN {r6('max(entropy)')} ELSE 0.0 END, CASE WHEN y % 5 <> 0 THEN sum(total_files) ELSE 0 END::BIGINT,
+        CASE WHEN y % 5 <> 0 THEN sum(total_sloc) ELSE 0 END::BIGINT FROM e GROUP BY document, y""",
     "snapshot_json_files": f"""
       SELECT repo || '/' || commit_hash || '/' || path AS document, path, language, sloc, {r6('cc')} AS cc, {r6('mi')} AS mi,
         smells_high, smells_medium, smells_low, CASE WHEN sloc % 3 <> 0 THEN coupling ELSE 0 END::DOUBLE AS coupling,
@@ -615,13 +635,10 @@ STATEMENTS: dict[str, str] = {
       UNION ALL SELECT repo, 6, 'files_cooler', cool::DOUBLE, NULL, cool_path FROM o WHERE cool > 0""",
     "delta_contributors": f"""
       SELECT repo, commit_hash, path, {r6('old_badness')} AS old_badness, {r6('new_badness')} AS new_badness, {_D6}, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY delta DESC, path) AS rank FROM (
-          SELECT n.repo, n.commit_hash, n.path, coalesce(o.badness, 0.0) AS old_badness, n.badness AS new_badness,
-            n.badness - coalesce(o.badness, 0.0) AS delta
-          FROM (SELECT * FROM v_scored JOIN v_commits USING (repo, commit_hash)) n
-          LEFT JOIN (SELECT * FROM v_scored JOIN v_commits USING (repo, commit_hash)) o
-            ON o.repo = n.repo AND o.path = n.path AND o.commit_seq = n.commit_seq - 1
-          WHERE n.commit_seq > 1) WHERE delta > 1e-9) WHERE rank <= 10""",
+        SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY delta DESC, path) AS rank FROM ({_RISES})) WHERE rank <= 10""",
+    "delta_bands": f"""
+      SELECT repo, commit_hash, 'delta' AS scale, {_above('delta', fixed.SEVERITY_SCALES['delta'])} AS band,
+        count(*)::BIGINT AS file_count FROM ({_RISES}) GROUP BY ALL""",
     "changed_files": """
       WITH linked AS (SELECT repo, commit_hash, parents[1] AS parent FROM v_commits),
         mine AS (SELECT s.*, parent FROM v_snapshots s JOIN linked USING (repo, commit_hash)),

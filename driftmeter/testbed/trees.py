@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import snapshot_json
+
 
 def write_tree(source_files: DataFrame, root: str) -> None:
     """Write every row as a file below ``root``; each task writes its own rows."""
@@ -85,6 +87,61 @@ def file_documents(files: DataFrame) -> DataFrame:
     return files.select(name.alias("document"), F.to_json(document).alias("json"))
 
 
+def year_documents(past: DataFrame) -> DataFrame:
+    """One snapshot document per repository and year, with an entry for each commit of the year.
+
+    No summary where the year divides by 5, no hash of an entry where its SLOC divides by 3, no date where it divides
+    by 4, no score where it divides by 5.
+    """
+    sloc = F.col("total_sloc")
+    entry = F.struct(
+        F.when(sloc % 3 != 0, F.col("commit_hash")).alias("hash"),
+        F.when(sloc % 4 != 0, F.concat("commit_hash", F.lit("-01"))).alias("date"),
+        F.when(sloc % 5 != 0, F.col("entropy")).alias("entropy"),
+        F.col("total_files").alias("files"),
+        sloc.alias("sloc"),
+    )
+    dated = F.struct("commit_hash", entry.alias("entry"))
+    year = F.substring("commit_hash", 1, 4)
+    years = past.groupBy(F.concat_ws("_", "repo", year).alias("document"), year.cast("int").alias("year")).agg(
+        F.transform(F.array_sort(F.collect_list(dated)), lambda e: e["entry"]).alias("history"),
+        F.max("entropy").alias("entropy"),
+        F.sum("total_files").alias("files"),
+        F.sum("total_sloc").alias("sloc"),
+    )
+    summary = F.when(F.col("year") % 5 != 0, F.struct("entropy", "files", "sloc"))
+    document = F.struct(
+        F.lit("2024-01-01").alias("generated"),
+        F.size("history").alias("commitCount"),
+        summary.alias("summary"),
+        "history",
+        F.array().cast("array<string>").alias("latestFiles"),
+    )
+    return years.select("document", F.to_json(document).alias("json"))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """Each document as a file of its own, in a folder of its name."""
+    documents.repartition("document").select("document", F.col("json").alias("value")).write.partitionBy("document").text(folder)
+
+
+def document_rows(snapshots: DataFrame) -> DataFrame:
+    """Summary and all history entries of documents read from files, as rows of one shape."""
+    name = F.url_decode(F.regexp_extract("document", "document=([^/]*)/", 1))
+    named = snapshots.withColumn("document", name)
+    summary = snapshot_json.snapshot_summary(named).select(
+        "document",
+        F.when(F.col("has_summary"), "summary").otherwise("no summary").alias("section"),
+        F.col("commits").cast("long").alias("position"), F.lit("").alias("name"), F.lit("").alias("date"),
+        "entropy", "files", "sloc",
+    )
+    entries = snapshot_json.snapshot_history(named).select(
+        "document", F.lit("history").alias("section"), F.col("position").cast("long"), F.col("commit_hash").alias("name"),
+        "date", "entropy", F.col("total_files").alias("files"), F.col("total_sloc").alias("sloc"),
+    )
+    return summary.unionByName(entries)
+
+
 def flatten_documents(summary: DataFrame) -> DataFrame:
     """Summary and first history entry of each document side by side."""
     entry = F.get("s.history", F.lit(0))
