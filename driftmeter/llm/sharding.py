@@ -1,6 +1,6 @@
 """Shards of a shuffled corpus, by a two-pass external shuffle.
 
-Pass one scatters the rows uniformly into buckets that fit memory, by a seeded hash. Pass two shuffles each bucket
+Pass one scatters the rows uniformly into buckets that fit memory, by a seeded hash of id and text. Pass two shuffles each bucket
 (Fisher-Yates, from a generator seeded by the bucket) and writes it. Buckets laid end to end are one uniform permutation
 of the corpus, which is cut into shards of consecutive places. So shards hold counts of rows that differ by one at most
 (the law ``rows``), slots have no gaps, and a bucket writes to few shards.
@@ -39,9 +39,9 @@ def _scattered(docs: DataFrame, text: str, id_col: str, bucket_bytes: int, seed:
     """Pass one: docs with _bucket, and for each bucket its base (rows before it) and all (rows of all buckets)."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    # rows without an id have only their place in the input to scatter them
-    key = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), key), F.lit(max(1, -(-total // bucket_bytes))))
+    # the text scatters rows of one id; equal rows without an id have only their place in the input
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text), place), F.lit(max(1, -(-total // bucket_bytes))))
     rows = docs.withColumn("_bucket", bucket)
     sizes = stored(rows.groupBy("_bucket").agg(F.count("*").alias("n")), "buckets").withColumn("chunk", F.floor(F.col("_bucket") / 4096))
     chunks = sizes.groupBy("chunk").agg(F.sum("n").alias("rows"))
@@ -56,7 +56,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, text: str = "
 
     Rows keep all their columns and get shard (int) and slot (long, from 0 in each shard); columns of docs with these
     names are replaced. Rows with null text or id take part; repeated rows are rows of their own. An empty table gives
-    an empty result. Equal texts are not kept together: every row is placed for itself.
+    an empty result. Equal texts are not kept together: every row is placed for itself. Only rows that share both id and
+    text share a bucket, whatever their number.
     """
     ship(docs.sparkSession)
     docs = docs.drop("shard", "slot")

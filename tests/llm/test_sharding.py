@@ -42,6 +42,16 @@ def test_odd_rows(odd, empty, bucket_bytes):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_one_id_spreads_over_buckets(spark):
+    docs = spark.range(3000).selectExpr("cast(7 as long) as doc_id", "repeat(concat('text ', id, ' '), 5) as text")
+    rows, _ = sharding._scattered(docs, "text", "doc_id", 20_000, sharding.SEED)
+    counts = [r["count"] for r in rows.groupBy("_bucket").count().collect()]
+    assert len(counts) > 8 and max(counts) < 1.5 * 3000 / len(counts)
+    found = sharding.sharded(docs, shards=7, bucket_bytes=20_000).collect()
+    _lawful(found, 7)
+    assert {r["text"] for r in found} == {r["text"] for r in docs.collect()} and len(found) == 3000
+
+
 def test_many_rows_without_id(spark):
     docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'same' as text")
     rows = sharding.sharded(docs, shards=7, bucket_bytes=1000).collect()
