@@ -240,7 +240,7 @@ class Words:
         raw = b"".join(map(known.__getitem__, parts))
         cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF) * 4
         starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
-        self.known.update((w, raw[a:b]) for w, a, b in zip(new, starts, ends, strict=True))
+        self.known.update(zip(new, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
         if len(known) > CACHED_WORDS:
             for p in fresh:
                 del known[p]
@@ -250,14 +250,13 @@ class Words:
         return np.array(coded.ids, "<u4")
 
     def _encode_parts(self, parts: list[str]) -> None:
-        if not parts:
-            return
-        lines = "\n".join(parts)
-        # ASCII letters show themselves
-        shown = parts if lines.isascii() else self.shown(lines)[0][0].split(self.shown("\n")[0][0])
-        raw = self.raw_ids
-        for part, letters in zip(parts, shown, strict=True):
-            self.known_parts[part] = b"".join([raw[token.id] for token in self.model(letters)])
+        raw, model, known = self.raw_ids, self.model, self.known_parts
+        for part in filter(str.isascii, parts):  # whose letters show themselves
+            known[part] = b"".join([raw[token.id] for token in model(part)])
+        if odd := [p for p in parts if not p.isascii()]:
+            shown = self.shown("\n".join(odd))[0][0].split(self.shown("\n")[0][0])
+            for part, letters in zip(odd, shown, strict=True):
+                known[part] = b"".join([raw[token.id] for token in model(letters)])
 
 
 _coders: dict[str, Words] = {}
@@ -284,6 +283,7 @@ def _encode(path: str, end: int):
                         some, size = [], 0
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(segments(some), pa.binary())], names=["value"])
+        pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
 
     return run
 
