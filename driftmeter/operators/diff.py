@@ -128,13 +128,16 @@ def drift_verdict(baseline: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def drift_verdict_as_of(signals: DataFrame, lag: int) -> DataFrame:
-    """Verdict of every commit against the commit ``lag`` steps before it (0 where there is none)."""
+    """Verdict of every commit against the commit ``lag`` steps before it.
+
+    The first ``lag`` commits have none before them to be judged against: baseline and verdict are null.
+    """
     earlier = signals.select(
         "repo", (F.col("commit_seq") + lag).alias("commit_seq"), F.col("entropy").alias("baseline_entropy")
     )
     joined = signals.join(earlier, ["repo", "commit_seq"], "left")
-    before = F.coalesce(F.col("baseline_entropy"), F.lit(0.0))
-    return joined.withColumn("baseline_entropy", before).withColumn("verdict", verdict(before, F.col("entropy")))
+    before = F.col("baseline_entropy")
+    return joined.withColumn("verdict", F.when(before.isNotNull(), verdict(before, F.col("entropy"))))
 
 
 def observations(baseline: DataFrame, current: DataFrame, pairs: DataFrame, trends: DataFrame) -> DataFrame:

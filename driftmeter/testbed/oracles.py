@@ -618,8 +618,9 @@ STATEMENTS: dict[str, str] = {
       FROM (SELECT w.*, coalesce(b.entropy, 0.0) AS baseline FROM v_whole w
             LEFT JOIN (SELECT repo, entropy FROM v_metrics WHERE commit_hash = '{views.BASELINE}') b USING (repo))""",
     "drift_verdict_as_of": f"""
-      SELECT repo, commit_hash, {r6('baseline')} AS baseline_entropy, {_E6}, {r6('trend')} AS trend, {_VERDICT} AS verdict
-      FROM (SELECT *, coalesce(e4, 0.0) AS baseline FROM v_as_of)""",
+      SELECT repo, commit_hash, {r6('baseline')} AS baseline_entropy, {_E6}, {r6('trend')} AS trend,
+        CASE WHEN baseline IS NOT NULL THEN {_VERDICT} END AS verdict
+      FROM (SELECT *, e4 AS baseline FROM v_as_of)""",
     "observations": f"""
       WITH o AS ({_OBSERVED})
       SELECT repo, 1::BIGINT AS position, CASE WHEN abs(de) < 0.001 THEN 'entropy_unchanged' WHEN de < 0 THEN 'entropy_dropped'

@@ -168,3 +168,10 @@ def test_until_follows_time_not_hashes(spark):
     other = past.where("i < 2").withColumn("repo", F.lit("s"))
     assert [r.commit_hash for r in compare.until(past.unionByName(other), "9c").orderBy("ts").collect()] == ["f3", "0a", "9c"]
     assert [tuple(r) for r in compare.summary_at(past, "9c").collect()] == [("r", 3.0, 10, 100, 3)]
+
+
+def test_first_commits_have_no_verdict(spark, make_history):
+    past = make_history(0.5, 0.5, 0.5, 0.9)
+    rows = diff.drift_verdict_as_of(history.forecast_signals_as_of(past), lag=2).orderBy("commit_seq").collect()
+    assert [r.baseline_entropy for r in rows] == [None, None, 0.5, 0.5]
+    assert [r.verdict is None for r in rows] == [True, True, False, False]
