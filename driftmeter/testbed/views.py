@@ -87,8 +87,16 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("repo", _commit_hash(), path.alias("path"), "ccn", "nloc")
 
 
-def to_file_metrics(function_rows: DataFrame, classified: DataFrame) -> DataFrame:
-    """Roll functions up to files on their narrow numeric key, then name the files."""
+def parts_of(scan: DataFrame) -> int:
+    """Into how many partitions steps over a whole scan are cut: several for each of its splits, so that what one task
+    holds stays the same however large the table is."""
+    return max(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * scan.rdd.getNumPartitions())
+
+
+def to_file_metrics(function_rows: DataFrame, classified: DataFrame, parts: int | None = None) -> DataFrame:
+    """Roll functions up to files on their narrow numeric key, then name the files; in so many ``parts``, if given."""
+    if parts:
+        function_rows = function_rows.repartition(parts, "repo", "month", "file_id")
     rolled = rollup.function_rollup(
         function_rows,
         ("repo", "month"),
@@ -96,6 +104,8 @@ def to_file_metrics(function_rows: DataFrame, classified: DataFrame) -> DataFram
         F.count_distinct("import").cast("bigint").alias("coupling"),
         file=F.col("file_id"),
     )
+    if parts:
+        rolled = rolled.repartition(parts, "path_key")
     joined = rolled.join(classified, rolled.path_key == classified.file_id)
     return rollup.add_maintainability(joined).select(
         "repo", _commit_hash(), "path", "language", "sloc", "cc", "mi",
@@ -105,7 +115,7 @@ def to_file_metrics(function_rows: DataFrame, classified: DataFrame) -> DataFram
 
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
-    return to_file_metrics(functions_by_id(lineitem), classified_files(spark, sf_dir))
+    return to_file_metrics(functions_by_id(lineitem), classified_files(spark, sf_dir), parts_of(lineitem))
 
 
 def _month_start(commit_hash: Column) -> Column:
@@ -283,9 +293,11 @@ def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change log: a file with functions in a month was touched there, or deleted when its lines divide by 7."""
-    rows = functions_by_id(table(spark, sf_dir, "lineitem"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    parts = parts_of(lineitem)
+    rows = functions_by_id(lineitem).repartition(parts, "repo", "month", "file_id")
     touched = rows.groupBy("repo", "month", "file_id").agg(F.sum("nloc").cast("bigint").alias("sloc"))
-    return touched.join(files(spark, sf_dir), "file_id").select(
+    return touched.repartition(parts, "file_id").join(files(spark, sf_dir), "file_id").select(
         "repo",
         _commit_hash(),
         "path",
