@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored_copy
 from . import ancestry
 from .rollup import COMMIT
-from .skew import attach, keyed, with_carry
+from .skew import attach, keyed
 
 # commits per block: a block's hashes travel as one array, so this bounds the array
 BLOCK = 1024
@@ -46,15 +46,20 @@ def line_versions(changes: DataFrame, lines: DataFrame) -> DataFrame:
 def _placed_versions(rows: DataFrame, ends: DataFrame) -> DataFrame:
     # a file changed in most commits of a line is cut into blocks; each hands its first and last change on
     keys = ["repo", "line", "path"]
-    blocked = rows.withColumn("_block", F.floor(F.col("place") / BLOCK))
-    late = blocked.withColumn("_back", -F.col("_block"))
     value = F.struct("content_hash", "is_deleted")
-    ahead = with_carry(late, keys, "_back", {"_next": (F.min("place"), F.last, "before")}).drop("_back")
-    both = with_carry(ahead, keys, "_block", {"_last": (F.max_by(value, "place"), F.last, "before")})
+    blocked = keyed(rows, keys).join(ends.select("repo", "line", "_length"), ["repo", "line"]).withColumn("_block", F.floor(F.col("place") / BLOCK))
+    if ends.where(F.col("_length") >= BLOCK).isEmpty():
+        both = blocked.withColumn("_next", F.lit(None)).withColumn("_last", F.lit(None).cast(rows.select(value.alias("_last")).schema["_last"].dataType))
+    else:
+        # lines of one block have nothing to hand on
+        blocks = blocked.where(F.col("_length") >= BLOCK).groupBy(*keys, "_block").agg(F.min("place").alias("_first"), F.max_by(value, "place").alias("_value"))
+        along = Window.partitionBy(*keys).orderBy("_block")
+        carried = blocks.select(*keys, "_block", F.lead("_first").over(along).alias("_next"), F.lag("_value").over(along).alias("_last"))
+        both = blocked.join(carried, [*keys, "_block"], "left")
     order = Window.partitionBy(*keys, "_block").orderBy("place")
     before = F.coalesce(F.lag(value).over(order), F.col("_last"))
     after = F.coalesce(F.lead("place").over(order), F.col("_next"))
-    joined = both.withColumn("_before", before).withColumn("_after", after).join(ends.select("repo", "line", "_length"), ["repo", "line"])
+    joined = both.withColumn("_before", before).withColumn("_after", after)
     return joined.select(
         *keys, "content_hash", F.col("place").alias("first_place"), F.coalesce(F.col("_after") - 1, F.col("_length")).alias("last_place"), "is_deleted",
         F.when(~F.col("_before.is_deleted"), F.col("_before.content_hash")).alias("old_hash"), (F.col("place") > 0).alias("changed"),
