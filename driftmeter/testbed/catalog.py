@@ -690,12 +690,12 @@ def _(spark, sf_dir):
 
 @query("incremental_scan_stream")
 def _(spark, sf_dir):
-    # line items arrive in files that split every commit, one file in a batch
+    # line items arrive in files that split every commit, in two batches
     root = tables.work_folder(spark)
     lineitem = views.table(spark, sf_dir, "lineitem")
-    trees.write_in_files(lineitem, f"{root}/arriving", 2)
+    each = trees.write_in_files(lineitem, f"{root}/arriving", 2)
     classified = stored_copy(views.classified_files(spark, sf_dir))
-    rows = incremental.read_rows(spark, f"{root}/arriving", lineitem.schema, files_per_batch=1)
+    rows = incremental.read_rows(spark, f"{root}/arriving", lineitem.schema, files_per_batch=each)
     raw = views.functions_by_id(rows, *incremental.IDENTITY)
     raw = raw.withColumn("commit_hash", F.date_format("month", "yyyy-MM"))
     scan = incremental.IncrementalScan(

@@ -30,9 +30,16 @@ def write_tree(source_files: DataFrame, root: str) -> None:
     source_files.select(full, "content").mapInPandas(write, "written long").agg(F.sum("written")).collect()
 
 
-def write_in_files(rows: DataFrame, folder: str, files: int) -> None:
-    """Rows dealt in turn to so many Parquet files, whatever commit they belong to."""
-    rows.repartition(files).write.parquet(folder)
+#: Rows of one arriving file, about.
+FILE_ROWS = 4_000_000
+
+
+def write_in_files(rows: DataFrame, folder: str, batches: int) -> int:
+    """Rows dealt in turn to Parquet files, whatever commit they belong to: one for each of so many batches, several
+    where a table is large, so that no task writes more than some FILE_ROWS.  Gives the files of a batch."""
+    each = max(1, -(-rows.count() // (batches * FILE_ROWS)))
+    rows.repartition(each * batches).write.parquet(folder)
+    return each
 
 
 def write_function_csv(functions: DataFrame, folder: str, root: str) -> None:
