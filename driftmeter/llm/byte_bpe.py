@@ -24,7 +24,7 @@ from driftmeter.llm.common import ship, unused
 CACHED_PIECES = 250_000
 CACHED_PAIRS = 400_000
 #: Texts encoded together: their Python objects are gone before the next ones come.
-TOGETHER = 1024
+TOGETHER = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -238,14 +238,13 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
 
 
 def _coded(batches: Iterator[pa.Array], ranks_path: str, pattern: str, of, names: list[str], types: list) -> Iterator[pa.Array]:
-    """A struct array for each batch of texts: of(coder, n, ids) gives the values of a row."""
+    """A struct array for each TOGETHER texts of a batch: of(coder, n, ids) gives the values of a row."""
     coder = encoder(ranks_path, pattern)
     for batch in batches:
-        parts = [pa.StructArray.from_arrays([pa.array([], t) for t in types], names)]
-        for at in range(0, len(batch), TOGETHER):
+        for at in range(0, len(batch), TOGETHER):  # sent on at once: no batch is held whole in its coded form
             rows = [of(coder, *found) for found in coder.encode_all([t or "" for t in batch.slice(at, TOGETHER).to_pylist()])]
-            parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names))
-        yield pa.concat_arrays(parts)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            del rows
     pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
 
 
